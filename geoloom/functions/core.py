@@ -49,3 +49,8 @@ def staged(df: DataFrame, *layers: dict[str, Column]) -> DataFrame:
         df = df.withColumns(layer)
         temp += [n for n in layer if n.startswith("__")]
     return df.drop(*[n for n in temp if n not in layers[-1]])
+
+
+def let(value: Column, body) -> Column:
+    """Bind a value once for a higher-order expression that reads it often."""
+    return F.element_at(F.transform(F.array(value), body), 1)
