@@ -68,20 +68,17 @@ def pairs_in_polygons(
     ``on`` names equality keys that must match too (such as the UTM zone).
     Column names of the two sides must differ apart from ``on``.
     """
-    b = G.bounding(outer)
-    boxed = polygons.withColumn("__box", b)
-    sides = [F.col(f"__box.{c}") for c in ("min_x", "min_y", "max_x", "max_y")]
-    cells = with_cover(boxed, *sides, base=base)
-    levels = polygons.withColumn("__box", b)
-    levels = with_cover(levels, *sides, base=base).select("__level").distinct()
+    box = dict(zip(("__x0", "__y0", "__x1", "__y1"), ("min_x", "min_y", "max_x", "max_y")))
+    boxed = polygons.withColumns({c: G.bounding(outer)[side] for c, side in box.items()})
+    cells = with_cover(boxed, *[F.col(c) for c in box], base=base)
+    levels = cells.select("__level").distinct()
     located = with_point_cells(points, levels, x, y, base)
     joined = skew_join(located, cells, [*on, "__level", "__cx", "__cy"])
     px, py = F.col(x), F.col(y)
-    in_box = px.between(F.col("__box.min_x"), F.col("__box.max_x")) & py.between(F.col("__box.min_y"), F.col("__box.max_y"))
+    in_box = px.between(F.col("__x0"), F.col("__x1")) & py.between(F.col("__y0"), F.col("__y1"))
     return (
-        joined.filter(in_box)
-        .filter(G.point_in_polygon(x, y, outer, holes, slack))
-        .drop("__level", "__cx", "__cy", "__box")
+        joined.filter(in_box & G.point_in_polygon(x, y, outer, holes, slack))
+        .drop("__level", "__cx", "__cy", *box)
     )
 
 

@@ -14,6 +14,25 @@ RECOMMENDED = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Settings for long arithmetic expressions, changeable on a running session.
+#
+# * Projection formulas nest dozens of operations. Constraint propagation turns
+#   every comparison on such a column into an IS NOT NULL over the whole formula,
+#   pushes it below the projection and computes the formula twice.
+# * The JVM does not compile methods above 8000 bytecodes; without the limit one
+#   long stage runs in the bytecode interpreter.
+LONG_EXPRESSIONS = {
+    "spark.sql.constraintPropagation.enabled": "false",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the run-time settings to a session made elsewhere."""
+    for key, value in LONG_EXPRESSIONS.items():
+        spark.conf.set(key, value)
+    return spark
+
 
 def build_session(master: str | None = None, app: str = "geoloom", **conf: str) -> SparkSession:
     """Session with the settings the operators are written for.
@@ -26,7 +45,7 @@ def build_session(master: str | None = None, app: str = "geoloom", **conf: str)
         builder = builder.master(master)
     for key, value in {**RECOMMENDED, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return tune(builder.getOrCreate())
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
