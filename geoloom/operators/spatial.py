@@ -132,7 +132,12 @@ def nearest_segments(
     """
     place = ["ax", "ay", "bx", "by"]
     unique = segments.groupBy(*on, *place).agg(F.min(F.struct(*candidate)).alias("__cand"))
+    unique = cut_lineage(unique)  # every round reads it
     left = points.select(point_id, *on, x, y)
+    if on:
+        # a point whose keys have no candidate at all would go through every round
+        left = left.join(unique.select(*on).distinct(), list(on), "left_semi")
+    left = cut_lineage(left)
     done: DataFrame | None = None
     size = start
     while True:

@@ -93,3 +93,38 @@ def source_priority(source: ColumnOrName, geocoder_prefix: str = MAP_GEOCODER_PR
     for name, p in PRIORITIES.items():
         out = F.when(key == name.lower(), F.lit(p)) if out is None else out.when(key == name.lower(), F.lit(p))
     return out.when(key.startswith(geocoder_prefix.lower()), F.lit(MAP_GEOCODER_PRIORITY)).otherwise(F.lit(LEGACY_PRIORITY))
+
+# fixed values: points and thresholds of polygon and center scores, reasons shown to users
+CONTAINS_CENTER_POINTS = 35
+LINK_POINTS = 20
+NO_CENTER_POINTS = -25
+VERTEX_POINTS_LIMIT = 20
+SMALL_AREA_POINTS = -35
+LARGE_AREA_POINTS = -60
+AREA_POINTS = 10
+COMPACT_POINTS = 5
+LOOSE_POINTS = -10
+LEAST_COMPACTNESS = 0.02
+OTHERS_TO_REJECT = 2
+AGREE_M, AGREE_POINTS = 3000.0, 8
+DISAGREE_M, DISAGREE_POINTS = 25000.0, -12
+CENTER_INSIDE_POINTS = 30
+PLACE_NODE_POINTS = 20
+SAME_CENTER_M = 1.0
+SAME_INSTANCE_M = 100.0
+LEAST_RING_AREA = 1.0
+REASONS = {
+    "broken": "Контур містить пошкоджене або незамкнене кільце",
+    "outer": "Зовнішнє кільце контуру пошкоджене",
+    "outer_cross": "Зовнішнє кільце контуру має самоперетини",
+    "hole": "Внутрішнє кільце контуру пошкоджене",
+    "hole_cross": "Внутрішнє кільце контуру має самоперетини",
+    "hole_outside": "Внутрішнє кільце розташоване поза контуром",
+    "hole_meets_outer": "Внутрішнє кільце перетинає зовнішню межу",
+    "holes_meet": "Внутрішні кільця контуру перетинаються",
+    "no_center": "Контур не містить центр власного НП",
+    "small": "Площа контуру %s км² менша допустимої %s км²",
+    "large": "Площа контуру %s км² перевищує допустимі %s км²",
+    "others": "Контур охоплює %d інших НП",
+}
+# ---- end of fixed values ----
