@@ -119,13 +119,34 @@ def known_centers(places: DataFrame, centers: DataFrame) -> DataFrame:
     left = spot.select("place_id", F.col("seq").alias("s1"), *[F.col(c).alias(f"l_{c}") for c in POINT])
     right = spot.select("place_id", F.col("seq").alias("s2"), *[F.col(c).alias(f"r_{c}") for c in POINT])
     close = near_pairs(left, right, rules.SAME_CENTER_M, ["place_id"]).filter("s2 < s1")
-    # the chain rule: a point is dropped by a kept point only
-    edges = close.select("place_id", "s1", "s2").distinct()
-    direct = edges.join(edges.select("place_id", F.col("s1").alias("s2"), F.lit(True).alias("__dropped")).distinct(), ["place_id", "s2"], "left")
-    gone = direct.filter("__dropped IS NULL").select("place_id", F.col("s1").alias("seq")).distinct()
+    gone = dropped_by_earlier(close.select("place_id", F.col("s1").alias("seq"), F.col("s2").alias("earlier")).distinct())
     return spot.join(gone, ["place_id", "seq"], "left_anti")
 
 
+def dropped_by_earlier(close: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """place_id, seq of rows dropped when rows are taken in order and one goes if a
+    *kept* earlier row is close. ``close``: place_id, seq, earlier.
+
+    Each round settles the rows whose earlier neighbours are all settled; rows
+    without close neighbours never enter, so the table shrinks fast.
+    """
+    open_edges = cut_lineage(close)
+    dropped: DataFrame | None = None
+    for _ in range(max_rounds):
+        if open_edges.isEmpty():
+            break
+        later = open_edges.select("place_id", F.col("seq").alias("earlier")).distinct()
+        kept = open_edges.select("place_id", "earlier").distinct().join(later, ["place_id", "earlier"], "left_anti")
+        gone = cut_lineage(open_edges.join(kept, ["place_id", "earlier"], "left_semi").select("place_id", "seq").distinct())
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        as_earlier = gone.select("place_id", F.col("seq").alias("earlier"))
+        open_edges = open_edges.join(gone, ["place_id", "seq"], "left_anti").join(as_earlier, ["place_id", "earlier"], "left_anti")
+        open_edges = cut_lineage(open_edges)
+    else:
+        raise RuntimeError("order of close rows did not settle")
+    return close.select("place_id", "seq").limit(0) if dropped is None else dropped
+
+
 def contained_other_places(polygons: DataFrame, all_centers: DataFrame, instances: DataFrame) -> DataFrame:
     """place_id, provider_key, external_key, others: how many other places have a
     center inside the group's polygons; rows of one instance count once."""
