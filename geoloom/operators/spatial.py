@@ -22,7 +22,7 @@ LEVEL_FACTOR = 4.0
 MAX_LEVEL = 8  # 1 km .. 65,000 km
 
 
-def _level_size(level: Column, base: float) -> Column:
+def level_size(level: Column, base: float) -> Column:
     return F.lit(base) * F.pow(F.lit(LEVEL_FACTOR), level)
 
 
@@ -35,7 +35,7 @@ def with_cover(
         F.lit(0), F.least(F.lit(MAX_LEVEL), F.ceil(F.log(F.greatest(span / base, F.lit(1e-9))) / F.log(F.lit(LEVEL_FACTOR))).cast("int"))
     )
     df = df.withColumn("__level", level)
-    size = _level_size(F.col("__level"), base)
+    size = level_size(F.col("__level"), base)
     df = df.withColumns(
         {
             "__cx": F.explode(F.sequence(F.floor(min_x / size), F.floor(max_x / size))),
@@ -48,7 +48,7 @@ def with_point_cells(df: DataFrame, levels: DataFrame, x: str, y: str, base: flo
     """One row per level in use; ``levels`` has at most MAX_LEVEL + 1 rows."""
     df = df.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(MAX_LEVEL))))
     df = df.join(F.broadcast(levels), "__level", "left_semi")
-    size = _level_size(F.col("__level"), base)
+    size = level_size(F.col("__level"), base)
     return df.withColumns({"__cx": F.floor(F.col(x) / size), "__cy": F.floor(F.col(y) / size)})
 
 

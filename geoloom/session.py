@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,19 +53,30 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which every executor reaches.
 
-    The folder comes from the session. Only when none is named anywhere (a
-    local test run) is a private one chosen.
+    Only when the session names none (a local test run) is a private one chosen.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="geoloom-checkpoint-")
-        sc.setCheckpointDir(folder)
+    chosen = sc._jsc.sc().getCheckpointDir()
+    if chosen.isDefined():
+        return chosen.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="geoloom-checkpoint-")
+    sc.setCheckpointDir(folder)
+    return folder
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of its own below the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder: lost executors lose nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

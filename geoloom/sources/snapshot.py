@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 3
-POINTER = "_current.json"
+POINTER = "current.json"
 
 
 class NewerSnapshotError(ValueError):
@@ -29,10 +29,10 @@ def _write_pointer(spark: SparkSession, root: str, state: dict) -> None:
     out = fs.create(fresh, True)
     out.write(bytearray(json.dumps(state).encode()))
     out.close()
-    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-        final.toUri(), spark._jsc.hadoopConfiguration()
-    ) if final.toUri().getScheme() else spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark._jsc.hadoopConfiguration())
-    options = spark._gateway.new_array(hadoop.Options.Rename, 1)
+    files = spark._jvm.org.apache.hadoop.fs.FileContext
+    conf = spark._jsc.hadoopConfiguration()
+    context = files.getFileContext(final.toUri(), conf) if final.toUri().getScheme() else files.getFileContext(conf)
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
     options[0] = hadoop.Options.Rename.OVERWRITE
     context.rename(fresh, final, options)
 
