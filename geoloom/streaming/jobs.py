@@ -13,6 +13,7 @@ from geoloom.functions.geodesy import WGS84_AXIS, bearing, distance_km
 
 LEGS = "session bigint, ts timestamp, lat double, lng double, prev_lat double, prev_lng double"
 LAST = "ts timestamp, lat double, lng double"
+SILENT_MS = 30 * 24 * 3600 * 1000  # event time after which a silent session is forgotten
 
 
 def _pair_up(key, batches, state: GroupState):
@@ -33,7 +34,8 @@ def _pair_up(key, batches, state: GroupState):
     out.iloc[0, out.columns.get_loc("prev_lng")] = before[2]
     last = pdf.iloc[-1]
     state.update((last["ts"].to_pydatetime(), float(last["lat"]), float(last["lng"])))
-    state.setTimeoutDuration(6 * 3600 * 1000)
+    silent = int(pd.Timestamp(last["ts"]).timestamp() * 1000) + SILENT_MS
+    state.setTimeoutTimestamp(max(silent, state.getCurrentWatermarkMs() + 1))
     yield out.astype({"prev_lat": "float64", "prev_lng": "float64"})
 
 
@@ -42,7 +44,7 @@ def stream_track_legs(fixes: DataFrame, lateness: str = "10 minutes", axis: floa
     per session is one fix; silent sessions are forgotten."""
     src = fixes.select("session", "event_id", F.col("ts").cast("timestamp").alias("ts"), "lat", "lng")
     paired = src.withWatermark("ts", lateness).groupBy("session").applyInPandasWithState(
-        _pair_up, LEGS, LAST, "append", GroupStateTimeout.ProcessingTimeTimeout
+        _pair_up, LEGS, LAST, "append", GroupStateTimeout.EventTimeTimeout
     )
     return paired.select(
         "session", "ts", "lat", "lng",
