@@ -11,7 +11,7 @@ POINT = (
     "struct<_lat:decimal(18,10),_lon:decimal(18,10),time:timestamp,ele:decimal(18,10),geoidheight:decimal(18,10),"
     "fix:string,sat:string,hdop:decimal(18,10),vdop:decimal(18,10),pdop:decimal(18,10)>"
 )
-POINTS_PER_SEGMENT = 50_000
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def read_gpx(spark: SparkSession, path: str) -> DataFrame:
@@ -61,11 +61,11 @@ def write_gpx(df: DataFrame, path: str, session: str, mode: str = "overwrite", *
     t = tracks(df, session, **kw).repartitionByRange("name", "part").sortWithinPartitions("name", "part").drop("part")
     t.write.format("xml").option("rootTag", f'gpx version="1.1" creator="geoloom" xmlns="{NAMESPACE}"').option(
         "rowTag", "trk"
-    ).mode(mode).save(path)
+    ).option("timestampFormat", TIME_FORMAT).mode(mode).save(path)
 
 
 def gpx_text(trk: DataFrame) -> DataFrame:
     """Track rows as GPX texts, for response tables."""
-    body = F.to_xml(F.struct("name", "trkseg"), {"rowTag": "trk"})
+    body = F.to_xml(F.struct("name", "trkseg"), {"rowTag": "trk", "timestampFormat": TIME_FORMAT})
     head = F.lit(f'<gpx version="1.1" xmlns="{NAMESPACE}">')
     return trk.select("name", "part", F.concat(head, body, F.lit("</gpx>")).alias("body"))
