@@ -8,6 +8,7 @@ from geoloom import points as P
 from geoloom.catalog import sql as S
 from geoloom.catalog.tracks import DECODED, RV, bucket, vertices
 from geoloom.operators import routes as R
+from geoloom.functions.core import beside_one_row
 from geoloom.registry import query
 from geoloom.sources import responses as X
 from geoloom.tables import table
@@ -318,4 +319,4 @@ def provider_outcomes(spark, d):
 def fresh_responses(spark, d):
     ev = table(spark, d, "events").select("event_id", "ts")
     now = ev.agg(F.max("ts").alias("now"))
-    return X.fresh_responses(ev.join(F.broadcast(now), how="cross"), F.col("now"), 240.0, "ts").select("event_id")
+    return X.fresh_responses(beside_one_row(ev, now), F.col("now"), 240.0, "ts").select("event_id")

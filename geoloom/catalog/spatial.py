@@ -12,6 +12,7 @@ from geoloom.functions import rings as G
 from geoloom.operators import spatial as X
 from geoloom.operators.ordered import with_previous
 from geoloom.operators.utm import with_utm
+from geoloom.functions.core import beside_one_row
 from geoloom.registry import query
 from geoloom.tables import table
 
@@ -168,7 +169,7 @@ SELECT o_orderkey, round(least(a, coalesce(b, a)), 2) AS metres FROM m""",
 def boundary_distance(spark, d):
     p = places(spark, d).filter("place_id % 10 <> 0")
     top = table(spark, d, "part").agg(F.max("p_partkey").alias("n"))
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(F.broadcast(top), how="cross")
+    o = beside_one_row(table(spark, d, "orders").select("o_orderkey", "o_custkey"), top)
     o = o.withColumn("place_id", F.col("o_custkey") % F.col("n") + 1)
     j = o.join(p, "place_id").withColumns(
         {"px": F.col("x") + F.col("o_orderkey") % 9000 - 4500, "py": F.col("y") + F.col("o_custkey") % 7000 - 3500}

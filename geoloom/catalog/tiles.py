@@ -13,6 +13,7 @@ from geoloom.catalog import sql as S
 from geoloom.functions.grids import GRS80_MINOR, grid
 from geoloom.operators import tiling as T
 from geoloom.operators.transverse import AXIS
+from geoloom.functions.core import beside_one_row
 from geoloom.registry import query
 from geoloom.tables import table
 
@@ -176,7 +177,7 @@ def tile_matrix(spark, d):
     n = table(spark, d, "events").agg(F.count(F.lit(1)).alias("events"))
     m = T.tile_matrix(spark, "mercator", 19)
     # one counted row against the twenty zoom rows
-    return m.join(F.broadcast(n), how="cross").select(
+    return beside_one_row(m, n).select(
         "zoom", "size_x", "items", "pixels_x", (F.col("events") / F.col("items").cast("double")).alias("per_tile")
     )
 

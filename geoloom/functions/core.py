@@ -54,3 +54,9 @@ def staged(df: DataFrame, *layers: dict[str, Column]) -> DataFrame:
 def let(value: Column, body) -> Column:
     """Bind a value once for a higher-order expression that reads it often."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def beside_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Each row with the columns of a table that has exactly one row (a total)."""
+    key = F.lit(1)
+    return df.withColumn("__one", key).join(F.broadcast(one.withColumn("__one", key)), "__one").drop("__one")
