@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm.ledger import ledger, passes
+from geoloom.llm.licenses import scan_licenses
 from geoloom.llm.oddsketch import near_duplicates
 from geoloom.llm.packing import pack
 from geoloom.llm.pii import KINDS, find_pii, listed
+from geoloom.llm.store import LOWER, UPPER
+from geoloom.llm.urlrules import judge_urls
+from geoloom.llm.warc import read_archive, write_archive
+from geoloom.session import work_folder
 from geoloom.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +78,44 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
         F.col("row.doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~passes("base")).alias("base_failed"), passes("v1").alias("kept"), F.col("bits").alias("failure_bits"),
     )
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT page_id, h, strlen(html) AS n, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(h, (1 + 5 * (i // 4))::INT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to FROM q
+"""
+
+
+@query("op1_warc_archive", WARC_SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    archive = work_folder(spark, "archive")
+    write_archive(table(spark, folder, "pages"), archive)
+    return read_archive(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+RULES_SQL = "('allow', 'org/'), ('block', 'example.org/es/'), ('block', 'example.org/en/1'), ('allow', 'com/fr/'), ('block', 'com/de/')"
+URL_SQL = f"""
+WITH p AS (SELECT page_id, row_number() OVER () AS r, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, r, rest, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host FROM p),
+u AS (SELECT page_id, r, coalesce(host, '') AS host, coalesce(regexp_extract(substr(rest, length(host) + 1), '^[^?#]*'), '') AS path FROM h),
+rules AS (SELECT action, rule, split_part(rule, '/', 1) AS rh, substr(rule, position('/' IN rule)) AS rp FROM (VALUES {RULES_SQL}) v(action, rule)),
+fit AS (SELECT r, action, rule, row_number() OVER (PARTITION BY r ORDER BY length(rule) DESC, length(rh) DESC, action DESC) AS k
+  FROM u JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM u LEFT JOIN (SELECT * FROM fit WHERE k = 1) USING (r)
+"""
+
+
+@query("op2_url_filter", URL_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.sql(f"SELECT * FROM VALUES {RULES_SQL} AS r(action, rule)")
+    return judge_urls(table(spark, folder, "pages"), rules)
+
+
+@query("op7_license_scan")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(table(spark, folder, "documents")).select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
