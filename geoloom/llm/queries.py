@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.llm.covertree import near_vectors
 from geoloom.llm.ledger import ledger, passes
 from geoloom.llm.licenses import scan_licenses
 from geoloom.llm.oddsketch import near_duplicates
@@ -119,3 +120,19 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_license_scan")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(table(spark, folder, "documents")).select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+VECTOR_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+
+@query("op4_embedding_near_dedup", VECTOR_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(table(spark, folder, "embeddings"))
