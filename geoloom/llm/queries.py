@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from geoloom.llm.covertree import near_vectors
 from geoloom.llm.ledger import ledger, passes
 from geoloom.llm.licenses import scan_licenses
+from geoloom.llm.merge_dropout import decode, encode, load_pieces, model_path
 from geoloom.llm.oddsketch import near_duplicates
 from geoloom.llm.packing import pack
 from geoloom.llm.pii import KINDS, find_pii, listed
+from geoloom.llm.pitman_yor import score_texts
 from geoloom.llm.store import LOWER, UPPER
 from geoloom.llm.urlrules import judge_urls
 from geoloom.llm.warc import read_archive, write_archive
@@ -136,3 +138,18 @@ FROM embeddings LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
 @query("op4_embedding_near_dedup", VECTOR_SQL)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op5_merge_dropout")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = load_pieces(model_path(spark))
+    found = decode(encode(table(spark, folder, "documents"), pieces), pieces)
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+    )
+
+
+@query("op10_lm_score")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return score_texts(table(spark, folder, "documents"))
