@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from geoloom.llm.components import connected
 from geoloom.llm.store import if_small, ship_by_value, small_batches, staged
@@ -103,17 +104,24 @@ def folder(width: int, bands: int, rows: int, bins: int, bits: int):
     return run
 
 
-def confirmer(width: int, percent: int):
-    """A task that keeps the pairs whose full sets are similar enough."""
+def confirmer(width: int, percent: int, remembered: int = 1 << 21):
+    """A task that keeps the pairs whose full sets are similar enough. Sets are remembered up to a number of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
+        sets: dict[int, np.ndarray] = {}
+        held = 0
         for b in batches:
             keep = []
-            for a, left, right in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if last[0] != a:
-                    last = (a, shingle_hashes(left, width))
-                mine, other = last[1], shingle_hashes(right, width)
+            for *ids, left, right in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                pair = []
+                for name, text in zip(ids, (left, right), strict=True):
+                    if name not in sets:
+                        if held > remembered:
+                            sets, held = {}, 0
+                        sets[name] = shingle_hashes(text, width)
+                        held += len(sets[name])
+                    pair.append(sets[name])
+                mine, other = pair
                 both = len(np.intersect1d(mine, other, assume_unique=True))
                 keep.append(100 * both >= percent * (len(mine) + len(other) - both))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -121,35 +129,36 @@ def confirmer(width: int, percent: int):
     return run
 
 
-def looks_close(x: str, y: str, percent: int, bits: int, miss_sd: float) -> Column:
+def looks_close(x: str, y: str, percent: int, bins: int, bits: int, miss_sd: float) -> Column:
     """Whether two odd sketches leave room for the wanted similarity.
 
     The population count of the XOR gives the number of differing samples, and with it the
-    matching ones. Samples of two sets at the threshold scatter around it by sampling (less
-    where nearly all of a set is sampled) and by parities that cancel; a pair is turned down
-    only when it is ``miss_sd`` standard deviations below.
+    matching ones. At the threshold the two set sizes fix the size of the union, the number
+    of bins it fills, and so the matches to expect; more similar sets have more. Matches
+    scatter by sampling (less where nearly all of a set is sampled) and by parities that
+    cancel; a pair is turned down only when it is ``miss_sd`` standard deviations below.
     """
     ones = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(bits // 64)))
     differ = F.lit(-bits / 2) * F.log(F.greatest(F.lit(1) - ones * F.lit(2.0 / bits), F.lit(1e-6)))
     match = (F.col(f"{x}.n_samples") + F.col(f"{y}.n_samples") - differ) / 2
-    most = F.greatest(f"{x}.n_samples", f"{y}.n_samples").cast("double")
-    size = F.greatest(f"{x}.n_shingles", f"{y}.n_shingles").cast("double")
     j = percent / 100
-    apart = most * (2 * (1 - j))
+    union = (F.col(f"{x}.n_shingles") + F.col(f"{y}.n_shingles")) / (1 + j)
+    filled = F.lit(float(bins)) * (1 - F.exp(-union / bins))
+    apart = filled * (2 * (1 - j))
     noise = F.lit(bits / 4) * (F.exp(apart * (4.0 / bits)) - 1) - apart + 1
-    spread = F.sqrt(most * (j * (1 - j)) * (F.lit(1.0) - most / size) + noise / 4 + 0.25)
+    spread = F.sqrt(filled * (j * (1 - j)) * F.greatest(F.lit(1.0) - filled / union, F.lit(0.0)) + noise / 4 + 0.25)
     sizes = F.least(f"{x}.n_shingles", f"{y}.n_shingles") * 100 >= F.greatest(f"{x}.n_shingles", f"{y}.n_shingles") * percent
-    return sizes & (match + spread * miss_sd >= most * j)
+    return sizes & (match + spread * miss_sd >= filled * j)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, bands: int = 48, rows: int = 5, bins: int = 1024, bits: int = 2048, miss_sd: float = 5.0, block: int = 2048, small_ids: int = 2_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, bands: int = 48, rows: int = 5, bins: int = 2048, bits: int = 4096, miss_sd: float = 4.5, tries: int = 4, block: int = 2048, small_ids: int = 2_000_000) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``.
 
     Documents with equal shingle sets form a class and only its smallest id goes on. Classes
     that share a band key are candidates; at the threshold all ``bands`` miss with
     probability ``(1 - (percent/100)**rows)**bands`` (2e-6 as set). Round one compares each
-    class with the smallest one of each of its buckets and confirms the best such pair on
-    the full sets. Round two looks at buckets whose members are in more than one component
+    class with the smallest members of its buckets, the ``tries`` that it meets most often, and
+    confirms the best such pair on the full sets. Round two looks at buckets whose members are in more than one component
     and confirms every pair across components that the odd sketches leave open. Pairs within
     a component need no look, so a group of near copies costs a few pairs per member.
     Buckets above ``block`` members are compared in parts, spread over tasks.
@@ -185,10 +194,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
         text = staged(own.join(if_small(ids, small_ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
         side = [text.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab"]
-        return pairs.join(side[0], "a").join(side[1], "b").select("a", "b", "text_a", "text_b").mapInArrow(confirmer(width, percent), "a long, b long")
-
-    stars = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(sketch_of("a"), "a").join(sketch_of("b"), "b").where(looks_close("a_s", "b_s", percent, bits, miss_sd))
+        # few bytes but much work: as many tasks as shuffles have
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return pairs.join(side[1], "b").repartition(tasks, "a").join(side[0], "a").select("a", "b", "text_a", "text_b").mapInArrow(confirmer(width, percent), "a long, b long")
+
+    # of the buckets' smallest members, those that a class meets in most bands
+    often = members.where("node <> hub").groupBy("node", "hub").count()
+    rank = F.row_number().over(W.partitionBy("node").orderBy(F.desc("count"), "hub"))
+    stars = often.withColumn("r", rank).where(F.col("r") <= tries).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    stars = stars.join(sketch_of("a"), "a").join(sketch_of("b"), "b").where(looks_close("a_s", "b_s", percent, bins, bits, miss_sd))
     apart = F.bit_count(F.col("a_s.sketch")[0].bitwiseXOR(F.col("b_s.sketch")[0]))
     for i in range(1, bits // 64):
         apart = apart + F.bit_count(F.col("a_s.sketch")[i].bitwiseXOR(F.col("b_s.sketch")[i]))
@@ -204,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = open_rows.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).alias("x")
     right = open_rows.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("y")
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
-    cross = left.join(right, meet & looks_close("x.s", "y.s", percent, bits, miss_sd)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    cross = left.join(right, meet & looks_close("x.s", "y.s", percent, bins, bits, miss_sd)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     more = staged(confirmed(staged(cross, "cross")), "links")
     found = connected(links.union(more)).withColumnRenamed("id", "node")
 
