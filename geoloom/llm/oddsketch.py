@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs ``(a, b)`` whose whole texts are similar enough."""
-        ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+        ids = staged(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
         text = staged(own.join(if_small(ids, small_ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
         side = [text.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab"]
         # few bytes but much work: as many tasks as shuffles have
