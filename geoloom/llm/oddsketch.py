@@ -213,12 +213,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.join(first.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("comp"))
     placed = staged(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    open_rows = staged(placed.join(mixed, "key").join(sketches.withColumn("s", F.struct("n_shingles", "n_samples", "sketch")).select("node", "s"), "node"), "open")
+    open_rows = staged(placed.join(mixed, "key").join(nodes.select("node", F.struct("n_shingles", "n_samples", "sketch", "bands").alias("s")), "node"), "open")
     parts = F.ceil(F.col("size") / block).cast("int")
     left = open_rows.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).alias("x")
     right = open_rows.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("y")
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
-    cross = left.join(right, meet & looks_close("x.s", "y.s", percent, bins, bits, miss_sd)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    # a pair that shares several buckets is given in the one of the smallest key
+    once = F.array_min(F.array_intersect("x.s.bands", "y.s.bands")) == F.col("x.key")
+    cross = left.join(right, meet & looks_close("x.s", "y.s", percent, bins, bits, miss_sd) & once).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     more = staged(confirmed(staged(cross, "cross")), "links")
     found = connected(links.union(more)).withColumnRenamed("id", "node")
 
