@@ -22,10 +22,10 @@ ALL = (1 << 64) - 1
 
 @dataclass
 class Pieces:
-    """The pieces of a merge-type model: ids and scores, byte ids, and the bytes of every id."""
+    """The pieces of a merge-type model: ids and ranks (the best score is 0), byte ids, and the bytes of every id."""
 
     ids: dict[str, int]
-    score: dict[str, float]
+    rank: dict[str, int]
     byte: list[int]
     raw: list[bytes]
     cut: str = field(default="")
@@ -52,7 +52,8 @@ def load_pieces(path: str) -> Pieces:
     line = not any("\n" in p and len(p) > 1 for p in ids)
     inner = f"[^{MARK}\n]" if line else f"[^{MARK}]"
     cut = f"{MARK}+{inner}*|{inner}+" + ("|\n" if line else "") if blank else r"(?s:.+)"
-    return Pieces(ids, score, byte, raw, cut)
+    order = {s: k for k, s in enumerate(sorted(set(score.values()), reverse=True))}
+    return Pieces(ids, {x: order[s] for x, s in score.items()}, byte, raw, cut)
 
 
 def scramble(x: int) -> int:
@@ -65,49 +66,47 @@ def segment(p: Pieces, chunk: str, key: int, limit: int) -> list[int]:
     """Piece ids of a chunk.
 
     Candidate merges wait in an agenda by score, then from the left. One that comes up is
-    dropped when the hash of the key, its place and its piece is below ``limit`` (a share of
-    2**64); a later merge beside it may propose the place anew.
+    dropped when the 32-bit hash of the key, its place and its piece is below ``limit``; a
+    later merge beside it may propose the place anew.
     """
-    part: list[str | None] = list(chunk)
+    part: list = list(chunk)
     n = len(part)
     before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-    score, ids = p.score, p.ids
-    agenda = []
-    for i in range(n - 1):
-        joined = chunk[i : i + 2]
-        if joined in score:
-            agenda.append((-score[joined], i, joined))
+    rank, ids = p.rank, p.ids
+    agenda = [(rank[two], i, two) for i in range(n - 1) if (two := chunk[i : i + 2]) in rank]
     heapq.heapify(agenda)
     while agenda:
-        _, i, joined = heapq.heappop(agenda)
-        j = after[i]
-        if part[i] is None or j < 0 or len(part[i]) + len(part[j]) != len(joined) or part[i] + part[j] != joined:
-            continue
-        if limit and scramble(key + i * 0x9E3779B97F4A7C15 + ids[joined] * 0xD1B54A32D192ED03 & ALL) < limit:
+        r, i, joined = heapq.heappop(agenda)
+        left, j = part[i], after[i]
+        if left is None or j < 0 or left + part[j] != joined:
             continue
+        if limit:
+            h = (key ^ r * 0x9E3779B1 ^ i * 0x85EBCA6B) & 0xFFFFFFFF
+            h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+            if (h ^ h >> 12) * 0x297A2D39 & 0xFFFFFFFF < limit:
+                continue
         part[i], part[j] = joined, None
         k = after[i] = after[j]
         if k >= 0:
             before[k] = i
-            more = joined + part[k]
-            if more in score:
-                heapq.heappush(agenda, (-score[more], i, more))
+            if (more := joined + part[k]) in rank:
+                heapq.heappush(agenda, (rank[more], i, more))
         h = before[i]
-        if h >= 0:
-            more = part[h] + joined
-            if more in score:
-                heapq.heappush(agenda, (-score[more], h, more))
+        if h >= 0 and (more := part[h] + joined) in rank:
+            heapq.heappush(agenda, (rank[more], h, more))
     out = []
     for x in part:
         if x is not None:
-            at = ids.get(x)
-            out.extend([at] if at is not None else [p.byte[b] for b in x.encode("utf-8", "surrogatepass")])
+            if (at := ids.get(x)) is not None:
+                out.append(at)
+            else:
+                out += [p.byte[b] for b in x.encode("utf-8", "surrogatepass")]
     return out
 
 
 def encode_text(p: Pieces, text: str, start: int, seed: int, dropout: float, variants: int, tables: list[dict], find) -> list[int]:
     """Piece ids of a text; its chunks take one of ``variants`` keys in turn from ``start`` on."""
-    limit = int(dropout * (1 << 64)) if dropout else 0
+    limit = int(dropout * (1 << 32))
     ids: list[int] = []
     if not text:
         return ids
@@ -122,9 +121,9 @@ def encode_text(p: Pieces, text: str, start: int, seed: int, dropout: float, var
             table = tables[which]
             got = table.get(chunk)
             if got is None:
-                if len(table) > 400_000 // variants:
+                if len(table) > 800_000 // variants:
                     table.clear()
-                got = segment(p, chunk, scramble(seed * variants + which + 1 & ALL), limit)
+                got = segment(p, chunk, scramble(seed * variants + which + 1 & ALL) & 0xFFFFFFFF, limit)
                 if len(chunk) <= 64:
                     table[chunk] = got
             ids += got
