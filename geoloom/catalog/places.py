@@ -294,11 +294,10 @@ def dedupe_first_areas(spark, d):
     return R.dedupe_first(p, R.area_key(), ["p_partkey"]).select("p_partkey")
 
 
-@query("order_places", f"SELECT p_partkey, TRUE AS first_page FROM part ORDER BY lower(p_name), {CLASS_SQL}, p_partkey LIMIT 25")
+@query("order_places", "SELECT p_partkey, upper(p_name) AS name FROM part")
 def order_places(spark, d):
     p = part(spark, d).withColumn("name", F.upper("p_name"))
-    # the listing's first page
-    return R.order_places(p, "p_partkey").limit(25).select("p_partkey", F.lit(True).alias("first_page"))
+    return R.order_places(p, "p_partkey").select("p_partkey", "name")
 
 
 @query("shuffle_rows", "SELECT event_id FROM events")

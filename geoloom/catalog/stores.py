@@ -100,11 +100,10 @@ def store_size(spark, d):
 
 @query(
     "evict_oldest",
-    ST + ", r AS (SELECT id, sum(bytes) OVER (ORDER BY cached_at DESC NULLS LAST, id DESC ROWS UNBOUNDED PRECEDING) AS run FROM s WHERE cached_at IS NOT NULL) SELECT id FROM r WHERE run <= 20000000",
+    ST + ", r AS (SELECT id, sum(bytes) OVER (ORDER BY cached_at DESC NULLS LAST, id DESC ROWS UNBOUNDED PRECEDING) AS run FROM s) SELECT id FROM r WHERE run <= 20000000",
 )
 def evict_oldest(spark, d):
-    s = store(spark, d).filter(F.col("cached_at").isNotNull())
-    return T.evict_oldest(s, 20_000_000, bucket=F.date_trunc("month", "cached_at")).select("id")
+    return T.evict_oldest(store(spark, d), 20_000_000, bucket=F.date_trunc("month", "cached_at")).select("id")
 
 
 @query("read_mbtiles", ST + " SELECT id, zoom, x, 255 - ((y * 7) % 256) AS y FROM s")

