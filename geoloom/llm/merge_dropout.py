@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import heapq
+import random
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import getitem
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
@@ -46,14 +50,25 @@ def load_pieces(path: str) -> Pieces:
         else:
             ids[piece], score[piece] = i, model.get_score(i)
             raw.append(piece.replace(MARK, " ").encode())
-    # No piece goes on after a blank that follows something else, nor over a line end; where
-    # that holds, texts can be cut there without changing any merge.
-    blank = not any(re.search(f"[^{MARK}]{MARK}", p) for p in ids)
-    line = not any("\n" in p and len(p) > 1 for p in ids)
-    inner = f"[^{MARK}\n]" if line else f"[^{MARK}]"
-    cut = f"{MARK}+{inner}*|{inner}+" + ("|\n" if line else "") if blank else r"(?s:.+)"
     order = {s: k for k, s in enumerate(sorted(set(score.values()), reverse=True))}
-    return Pieces(ids, {x: order[s] for x, s in score.items()}, byte, raw, cut)
+    return Pieces(ids, {x: order[s] for x, s in score.items()}, byte, raw, cut_pattern(ids))
+
+
+def cut_pattern(ids: dict[str, int]) -> str:
+    """Chunks a text falls into, by the vocabulary alone.
+
+    Where two neighbours are in no piece side by side, no merge ever joins them, so a text
+    can be cut there without changing any merge: before a blank, at a line end, and between
+    letters and other signs (but for the letters that some piece has beside such a sign).
+    """
+    if any(re.search(f"[^{MARK}]{MARK}", x) for x in ids):
+        return r"(?s:.+)"
+    sign = rf"[^\w{MARK}]"
+    mixed = {c for x in ids for pair in re.findall(rf"(?=(\w{sign}|{sign}\w))", x) for c in pair if re.match(r"\w", c)}
+    odd = "".join(sorted(re.escape(c) for c in mixed))
+    line = not any("\n" in x and len(x) > 1 for x in ids)
+    ends = MARK + (r"\n" if line else "")
+    return rf"{MARK}*[^\W{odd}]+|{MARK}*(?:(?![{ends}])[\W{odd}])+|{MARK}+" + (r"|\n" if line else "")
 
 
 def scramble(x: int) -> int:
@@ -62,29 +77,45 @@ def scramble(x: int) -> int:
     return x ^ (x >> 31)
 
 
-def segment(p: Pieces, chunk: str, key: int, limit: int) -> list[int]:
-    """Piece ids of a chunk.
+SHORT = 64  # longest chunk whose agenda is a plain list, and longest one remembered
+NEVER = 1 << 62
 
-    Candidate merges wait in an agenda by score, then from the left. One that comes up is
-    dropped when the 32-bit hash of the key, its place and its piece is below ``limit``; a
-    later merge beside it may propose the place anew.
-    """
+
+def keyed_words(key: str, n: int) -> list[int]:
+    """The first ``n`` 32-bit words that a key stands for."""
+    return array("I", random.Random(key).randbytes(4 * n)).tolist()
+
+
+def merge_short(rank: dict[str, int], chunk: str, by_rank: list[int], by_place: list[int], limit: int) -> list[str]:
+    """Pieces of a short chunk: the agenda is the list of the ranks of its neighbours, searched for the least."""
+    get, part, place = rank.get, list(chunk), list(range(len(chunk)))
+    agenda = [get(chunk[i : i + 2], NEVER) for i in range(len(chunk) - 1)]
+    while agenda and (r := min(agenda)) != NEVER:
+        i = agenda.index(r)
+        if by_rank[r] ^ by_place[place[i]] < limit:
+            agenda[i] = NEVER
+            continue
+        joined = part[i] = part[i] + part.pop(i + 1)
+        del agenda[i], place[i + 1]
+        if i < len(agenda):
+            agenda[i] = get(joined + part[i + 1], NEVER)
+        if i:
+            agenda[i - 1] = get(part[i - 1] + joined, NEVER)
+    return part
+
+
+def merge_long(rank: dict[str, int], chunk: str, by_rank: list[int], by_place: list[int], limit: int) -> list[str]:
+    """The same pieces with a heap as agenda, for chunks of any length."""
     part: list = list(chunk)
     n = len(part)
     before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-    rank, ids = p.rank, p.ids
     agenda = [(rank[two], i, two) for i in range(n - 1) if (two := chunk[i : i + 2]) in rank]
     heapq.heapify(agenda)
     while agenda:
         r, i, joined = heapq.heappop(agenda)
         left, j = part[i], after[i]
-        if left is None or j < 0 or left + part[j] != joined:
+        if left is None or j < 0 or left + part[j] != joined or by_rank[r] ^ by_place[i] < limit:
             continue
-        if limit:
-            h = (key ^ r * 0x9E3779B1 ^ i * 0x85EBCA6B) & 0xFFFFFFFF
-            h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
-            if (h ^ h >> 12) * 0x297A2D39 & 0xFFFFFFFF < limit:
-                continue
         part[i], part[j] = joined, None
         k = after[i] = after[j]
         if k >= 0:
@@ -94,40 +125,59 @@ def segment(p: Pieces, chunk: str, key: int, limit: int) -> list[int]:
         h = before[i]
         if h >= 0 and (more := part[h] + joined) in rank:
             heapq.heappush(agenda, (rank[more], h, more))
-    out = []
-    for x in part:
-        if x is not None:
-            if (at := ids.get(x)) is not None:
-                out.append(at)
-            else:
+    return [x for x in part if x is not None]
+
+
+class Memory(dict):
+    """Packed piece ids of the chunks seen under one key; a new chunk is cut on the way.
+
+    Candidate merges wait in an agenda by score, then from the left. One that comes up is
+    dropped when the keyed hash of its piece and place (two table words, joined by XOR) is
+    below the limit; a later merge beside it may propose the place anew.
+    """
+
+    def __init__(self, p: Pieces, key: str, limit: int, size: int):
+        self.p, self.key, self.limit, self.size = p, key, limit, size
+        self.by_rank = keyed_words(f"{key} rank", max(p.rank.values(), default=0) + 1)
+        self.by_place = keyed_words(f"{key} place", SHORT)
+
+    def cut(self, chunk: str) -> list[int]:
+        p, out = self.p, []
+        if len(chunk) <= SHORT:
+            parts = merge_short(p.rank, chunk, self.by_rank, self.by_place, self.limit)
+        else:
+            parts = merge_long(p.rank, chunk, self.by_rank, keyed_words(f"{self.key} place", len(chunk)), self.limit)
+        for x in parts:
+            at = p.ids.get(x)
+            if at is None:
                 out += [p.byte[b] for b in x.encode("utf-8", "surrogatepass")]
-    return out
+            else:
+                out.append(at)
+        return out
+
+    def __missing__(self, chunk: str) -> bytes:
+        got = array("i", self.cut(chunk)).tobytes()
+        if len(chunk) <= SHORT:
+            if len(self) >= self.size:
+                self.clear()
+            self[chunk] = got
+        return got
+
+
+def memories(p: Pieces, seed: int, dropout: float, variants: int) -> list[Memory]:
+    return [Memory(p, f"{seed} {k}", int(dropout * (1 << 32)), 800_000 // variants) for k in range(variants)]
 
 
-def encode_text(p: Pieces, text: str, start: int, seed: int, dropout: float, variants: int, tables: list[dict], find) -> list[int]:
-    """Piece ids of a text; its chunks take one of ``variants`` keys in turn from ``start`` on."""
-    limit = int(dropout * (1 << 32))
-    ids: list[int] = []
+def encode_text(p: Pieces, text: str, start: int, tables: list[Memory], find) -> bytes:
+    """Piece ids of a text, packed; its chunks take the ``tables`` in an order drawn from ``start``."""
     if not text:
-        return ids
-    mark = [p.byte[b] for b in MARK.encode()]
-    place = start
-    for k, segment_text in enumerate((" " + text).split(MARK)):
-        if k:
-            ids += mark
-        for chunk in find(segment_text.replace(" ", MARK)):
-            place = place * 25214903917 + 11 & 0xFFFFFFFFFFFF
-            which = (place >> 24) % variants
-            table = tables[which]
-            got = table.get(chunk)
-            if got is None:
-                if len(table) > 800_000 // variants:
-                    table.clear()
-                got = segment(p, chunk, scramble(seed * variants + which + 1 & ALL) & 0xFFFFFFFF, limit)
-                if len(chunk) <= 64:
-                    table[chunk] = got
-            ids += got
-    return ids
+        return b""
+    mark = array("i", [p.byte[b] for b in MARK.encode()]).tobytes()
+    draw = random.Random(start)
+    return mark.join(
+        b"".join(map(getitem, draw.choices(tables, k=len(chunks)), chunks))
+        for chunks in (find(x.replace(" ", MARK)) for x in (" " + text).split(MARK))
+    )
 
 
 def encode(docs: DataFrame, pieces: Pieces, seed: int = 1, dropout: float = 0.1, variants: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,31 +193,46 @@ def encode(docs: DataFrame, pieces: Pieces, seed: int = 1, dropout: float = 0.1,
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: list[dict] = [{} for _ in range(variants)]
+        tables = memories(pieces, seed, dropout, variants)
         find = re.compile(pieces.cut).findall
         for b in batches:
-            out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                out.append(None if text is None else encode_text(pieces, text, scramble((doc or 0) * 0x9E3779B97F4A7C15 + seed & ALL) & 0xFFFFFFFFFFFF, seed, dropout, variants, tables, find))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "text", "ids"])
+            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+            out = [
+                encode_text(pieces, text or "", scramble((doc or 0) * 0x9E3779B97F4A7C15 + seed & ALL), tables, find)
+                for doc, text in rows
+            ]
+            ends = np.cumsum([0, *map(len, out)]) // 4
+            ids = pa.ListArray.from_arrays(
+                pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(out), np.int32)), mask=b.column(1).is_null()
+            )
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids], names=["doc_id", "text", "ids"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return own.mapInArrow(run, "doc_id long, text string, ids array<int>")
 
 
-def decode_ids(raw: list[bytes], ids: list[int]) -> str:
-    return b"".join(map(raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
+def decode_lists(raw: pa.Array, ids: pa.ListArray) -> list[str | None]:
+    """The text of every list of ids: the bytes of all ids are laid end to end and cut where lists end."""
+    spelled = raw.take(ids.values)
+    _, ends, laid = spelled.buffers()
+    if not len(spelled):
+        ends, laid = bytes(8), b""
+    data = memoryview(laid or b"")
+    cuts = np.frombuffer(ends, np.int64)[ids.offsets.to_numpy()].tolist()
+    known = ids.is_valid().to_pylist()
+    return [str(data[a:z], "utf-8", "surrogatepass")[1:] if ok else None for a, z, ok in zip(cuts, cuts[1:], known, strict=False)]
 
 
 def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
     """``encoded`` with ``decoded``: the text that its ``ids`` spell. Null ids give null."""
-    raw = pieces.raw
+    spelling = pieces.raw
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = pa.array(spelling, pa.large_binary())
         for b in batches:
-            out = [None if ids is None else decode_ids(raw, ids) for ids in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "decoded"])
+            out = pa.array(decode_lists(raw, b.column("ids")), pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, f"{fields}, decoded string")
 

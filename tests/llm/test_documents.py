@@ -1,6 +1,7 @@
 """Document operators against plain Python on rows with every kind of oddity."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -169,6 +170,18 @@ def test_pieces_without_dropout_are_the_models(docs, pieces, spark):
         assert r.ids == (None if r.text is None else model.encode(r.text))
 
 
+def test_both_agendas_cut_alike(pieces):
+    draw = random.Random(5)
+    vocabulary = [w for w in pieces.rank if len(w) > 3]
+    for _ in range(600):
+        chunk = "".join(draw.choice((draw.choice(vocabulary), draw.choice("aeéthn1"))) for _ in range(draw.randint(0, 6)))[:90]
+        for limit in (0, 1 << 29, 1 << 31):
+            by_rank = merge_dropout.keyed_words(draw.random().hex(), 40_000)
+            args = pieces.rank, chunk, by_rank, merge_dropout.keyed_words("p", len(chunk)), limit
+            assert merge_dropout.merge_short(*args) == merge_dropout.merge_long(*args)
+            assert limit != 0 or "".join(merge_dropout.merge_short(*args)) == chunk
+
+
 def test_scores(docs):
     rows = docs.select("doc_id", "text").collect()
     held = [zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 5 == 1 for r in rows]
