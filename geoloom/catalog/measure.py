@@ -155,11 +155,10 @@ def from_mgrs(spark, d):
 @query(
     "bulk_parse_coordinates",
     f"""WITH p AS ({EV}) SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'degrees' WHEN 1 THEN 'degrees' WHEN 2 THEN 'utm' WHEN 3 THEN 'utm' WHEN 4 THEN 'mgrs' END AS kind,
- event_id % 6 <> 5 AND NOT (event_id % 6 = 2 AND {BAND} IN ('E', 'N')) AS close FROM p""",
+ event_id % 6 <> 5 AS close FROM p""",
 )
 def bulk_parse_coordinates(spark, d):
-    """Texts of six shapes are derived from the points, then read back. In bands
-    E and N the zone itself reads as an easting or northing marker."""
+    """Texts of six shapes are derived from the points, then read back."""
     u = U.with_utm(P.event_points(spark, d)).withColumnRenamed("lat", "true_lat").withColumnRenamed("lng", "true_lng")
     k = F.col("event_id") % 6
     deg = F.format_string("%.4f, %.4f", F.col("true_lat"), F.col("true_lng"))

@@ -51,15 +51,15 @@ def hav(lat1: str, lng1: str, lat2: str, lng2: str, radius: float) -> str:
 
 def datum_ctes(src: str, out: str, lat: str = "lat", lng: str = "lng",
                minor_from: float = WGS84_MINOR, minor_to: float = GRS80_MINOR) -> str:
-    """CTE adding sla (shifted latitude); the longitude is unchanged."""
-    ef, et = 1 - (minor_from / AXIS) ** 2, 1 - (minor_to / AXIS) ** 2
-    ep = (AXIS / minor_to) ** 2 - 1
+    """CTE adding sla (shifted latitude) by Molodensky's differential formula with equal axes
+    and no translation; the longitude is unchanged."""
+    es = n(1 - (minor_from / AXIS) ** 2)
+    flatter, ratio = n((minor_from - minor_to) / AXIS), n(AXIS / minor_from)
+    q = f"(1 - {es} * pow(sin(radians({lat})), 2))"
+    # N / M, the ratio of the radii across and along the meridian
+    radii = f"({q} / (1 - {es}))"
     return f"""
-{out}_1 AS (SELECT *, radians({lat}) AS dp, {n(AXIS)} / sqrt(1 - {n(ef)} * pow(sin(radians({lat})), 2)) AS dv FROM {src}),
-{out}_2 AS (SELECT *, dv * cos(dp) AS dw, dv * sin(dp) * (1 - {n(ef)}) AS dz FROM {out}_1),
-{out}_3 AS (SELECT *, dz * 1.0026e0 AS t0, sqrt(pow(dz * 1.0026e0, 2) + dw * dw) AS s0 FROM {out}_2),
-{out} AS (SELECT * EXCLUDE (dp, dv, dw, dz, t0, s0),
-  degrees(atan2(dz + {n(minor_to * ep)} * pow(t0 / s0, 3), dw - {n(AXIS * et)} * pow(dw / s0, 3))) AS sla FROM {out}_3)"""
+{out} AS (SELECT *, {lat} + degrees({flatter} * ({ratio} + {radii} / {ratio}) * sin(radians({lat})) * cos(radians({lat}))) AS sla FROM {src})"""
 
 
 def tm_ctes(src: str, out: str, phi: str, dlam: str, es: float, k0: float, fe: str, fn: str,

@@ -32,7 +32,6 @@ SWISS_MATRIX = (
 )
 GRS80_MINOR = 6356752.3141403561
 WGS84_MINOR = 6356752.3142451793
-# ---- end of fixed values ----
 
 
 @dataclass(frozen=True)
@@ -57,6 +56,9 @@ class Grid:
     matrix: tuple[tuple[int, int], ...] = ()
 
 
+# Limits, origins and scales, as the publishers of the grids state them: EPSG 3857 and 3395
+# (world), EPSG 4326 (plate carree), EPSG 3346 (LKS-94), EPSG 3059 (LKS-92), EPSG 3006 (SWEREF 99 TM),
+# EPSG 32633 (UTM 33N) and the tile schemes of the national map services.
 _WORLD = dict(min_lat=-MERCATOR_LAT, max_lat=MERCATOR_LAT, min_lng=-180.0, max_lng=180.0)
 _LKS = dict(kind="transverse", scale=0.9998, meridian=0.41887902047863912, false_easting=500000.0,
             resolutions=RESOLUTIONS_METRES_LKS)
@@ -86,6 +88,7 @@ GRIDS: dict[str, Grid] = {
         Grid("utm33", "utm33", 26.0, 76.0, -26.0, 38.0, scale=0.9996),
     )
 }
+# ---- end of fixed values ----
 
 
 def grid(name: str) -> Grid:

@@ -42,31 +42,42 @@ def path_intersects_bounds(path: str, r: Rect) -> Column:
     )
 
 
-def _on_levels(df: DataFrame, box: tuple[str, str, str, str], native: str, base: float) -> DataFrame:
-    """Cells of each box on its own level and on every coarser one."""
+def _with_level(df: DataFrame, box: tuple[str, ...], base: float) -> DataFrame:
+    """``__level``: the finest level at which a box is no wider than a cell."""
     x0, y0, x1, y1 = (F.col(c) for c in box)
     span = F.greatest(x1 - x0, y1 - y0)
-    level = F.greatest(F.lit(0), F.least(F.lit(MAX_LEVEL), F.ceil(F.log(F.greatest(span / base, F.lit(1e-9))) / F.log(F.lit(4.0))).cast("int")))
-    d = df.withColumn(native, level).withColumn("__level", F.explode(F.sequence(F.col(native), F.lit(MAX_LEVEL))))
+    steps = F.ceil(F.log(F.greatest(span / base, F.lit(1e-9))) / F.log(F.lit(4.0))).cast("int")
+    return df.withColumn("__level", F.greatest(F.lit(0), F.least(F.lit(MAX_LEVEL), steps)))
+
+
+def _in_cells(df: DataFrame, box: tuple[str, ...], base: float) -> DataFrame:
+    """One row per cell a box touches on its ``__level``."""
+    x0, y0, x1, y1 = (F.col(c) for c in box)
     size = level_size(F.col("__level"), base)
-    d = d.withColumn("__cx", F.explode(F.sequence(F.floor(x0 / size), F.floor(x1 / size))))
+    d = df.withColumn("__cx", F.explode(F.sequence(F.floor(x0 / size), F.floor(x1 / size))))
     return d.withColumn("__cy", F.explode(F.sequence(F.floor(y0 / size), F.floor(y1 / size))))
 
 
 def box_pairs(left: DataFrame, right: DataFrame, lbox: tuple[str, ...], rbox: tuple[str, ...], base: float) -> DataFrame:
     """Pairs of rows whose closed boxes (min_x, min_y, max_x, max_y columns) meet.
 
-    Two boxes are compared on the coarser of their levels, in the one cell that
-    holds the lower left corner of their overlap, so no pair appears twice.
+    Two boxes are compared on the coarser of their levels, in the one cell that holds the
+    lower left corner of their overlap, so no pair appears twice. The larger box is looked
+    up on its own level only, the smaller one there too: small boxes never meet each other
+    in the large cells of coarser levels.
     """
-    a, b = _on_levels(left, lbox, "__la", base), _on_levels(right, rbox, "__lb", base)
-    j = skew_join(a, b, ["__level", "__cx", "__cy"]).filter(F.col("__level") == F.greatest("__la", "__lb"))
+    a, b = _with_level(left, lbox, base), _with_level(right, rbox, base)
+    upward = F.explode(F.sequence(F.col("__level"), F.lit(MAX_LEVEL)))
+    beyond = F.explode(F.filter(F.sequence(F.col("__level"), F.lit(MAX_LEVEL)), lambda k: k > F.col("__level")))
+    keys = ["__level", "__cx", "__cy"]
+    large_left = skew_join(_in_cells(a, lbox, base), _in_cells(b.withColumn("__level", upward), rbox, base), keys)
+    large_right = skew_join(_in_cells(a.withColumn("__level", beyond), lbox, base), _in_cells(b, rbox, base), keys)
     ax0, ay0, ax1, ay1 = (F.col(c) for c in lbox)
     bx0, by0, bx1, by1 = (F.col(c) for c in rbox)
     meet = (ax0 <= bx1) & (bx0 <= ax1) & (ay0 <= by1) & (by0 <= ay1)
     size = level_size(F.col("__level"), base)
     here = (F.floor(F.greatest(ax0, bx0) / size) == F.col("__cx")) & (F.floor(F.greatest(ay0, by0) / size) == F.col("__cy"))
-    return j.filter(meet & here).drop("__level", "__cx", "__cy", "__la", "__lb")
+    return large_left.unionByName(large_right).filter(meet & here).drop(*keys)
 
 
 def paths_in_bounds(paths: DataFrame, areas: DataFrame, path: str = "path", prefix: str = "r", base: float = 0.05) -> DataFrame:

@@ -142,32 +142,39 @@ def inverse(
     )
 
 
+def to_meridian_plane(
+    df: DataFrame, lat: str, minor: float, across: str = "__across", up: str = "__up"
+) -> DataFrame:
+    """Metres from the axis and above the equator of points on an ellipsoid (height zero)."""
+    es = 1.0 - (minor / AXIS) ** 2
+    sine = F.sin(F.radians(lat))
+    df = df.withColumn("__prime", F.lit(AXIS) / F.sqrt(F.lit(1.0) - sine * sine * es))
+    return df.withColumns(
+        {across: F.col("__prime") * F.cos(F.radians(lat)), up: F.col("__prime") * sine * (1.0 - es)}
+    ).drop("__prime")
+
+
+def from_meridian_plane(df: DataFrame, across: str, up: str, start: str, minor: float, out: str, turns: int = 3) -> DataFrame:
+    """Geodetic degrees by the iteration of Heiskanen and Moritz (Physical Geodesy, 1967):
+    tan lat = (up + e2 N(lat) sin lat) / across. Each turn shrinks the error by e2, about
+    1/150; ``start`` (degrees) is already within 1e-9 for the ellipsoids in use."""
+    es = 1.0 - (minor / AXIS) ** 2
+    df = df.withColumn("__turn", F.radians(start))
+    for _ in range(turns):
+        sine = F.sin("__turn")
+        prime = F.lit(AXIS) / F.sqrt(F.lit(1.0) - sine * sine * es)
+        df = df.withColumn("__turn", F.atan2(F.col(up) + prime * sine * es, F.col(across)))
+    return df.withColumn(out, F.degrees("__turn")).drop("__turn")
+
+
 def datum_shift(
     df: DataFrame, lat: str, lng: str, out_lat: str, out_lng: str, minor_from: float, minor_to: float
 ) -> DataFrame:
-    """Move degrees from one ellipsoid to another through earth-centred metres."""
-    es_from = 1.0 - (minor_from / AXIS) ** 2
-    es_to = 1.0 - (minor_to / AXIS) ** 2
-    ep_to = (AXIS / minor_to) ** 2 - 1.0
-    first_guess = 1.0026000  # scale of the vertical start value for heights near the surface
-    return staged(
-        df,
-        {"__p": F.radians(lat), "__l": F.radians(lng)},
-        {"__v": F.lit(AXIS) / F.sqrt(F.lit(1.0) - F.sin("__p") * F.sin("__p") * es_from)},
-        {"__w": F.col("__v") * F.cos("__p"), "__z": F.col("__v") * F.sin("__p") * (1.0 - es_from)},
-        {"__t0": F.col("__z") * first_guess},
-        {"__s0": F.sqrt(F.col("__t0") * F.col("__t0") + F.col("__w") * F.col("__w"))},
-        {"__sb": F.col("__t0") / F.col("__s0"), "__cb": F.col("__w") / F.col("__s0")},
-        {
-            out_lat: F.degrees(
-                F.atan2(
-                    F.col("__z") + F.col("__sb") * F.col("__sb") * F.col("__sb") * (minor_to * ep_to),
-                    F.col("__w") - F.col("__cb") * F.col("__cb") * F.col("__cb") * (AXIS * es_to),
-                )
-            ),
-            out_lng: F.col(lng),
-        },
-    )
+    """Move degrees from one ellipsoid to another with the same centre and equator: the
+    point stays in its meridian plane, so the longitude is unchanged."""
+    df = to_meridian_plane(df, lat, minor_from)
+    df = from_meridian_plane(df, "__across", "__up", lat, minor_to, out_lat)
+    return df.withColumn(out_lng, F.col(lng)).drop("__across", "__up")
 
 
 def redfearn_forward(

@@ -206,54 +206,64 @@ def parse_mgrs(df: DataFrame, text: str, x: str = "x", y: str = "y", zone: str =
     ).drop("__ok", "__z", "__b", "__c", "__r", "__e", "__n")
 
 
-# fixed values: how coordinates appear in free text
-ZONE_AND_BAND = r"\b(\d{1,2})([C-HJ-NP-X])\b"
-ZONE_ONLY = r"\b(\d{1,2})\b"
-NUMBER = r"-?\d+(?:[.,]\d+)?"
-EAST_NUMBER = r"(-?\d+(?:[.,]\d+)?)\s*[Ee]\b"
-NORTH_NUMBER = r"(-?\d+(?:[.,]\d+)?)\s*[Nn]\b"
+#: A text falls into numbers, each with a letter if one is glued to it, and words.
+TOKEN = "[+-]?[0-9]+(?:[.,][0-9]+)?(?:[A-Z](?![A-Z0-9]))?|[A-Z]+"
+BANDS = "CDEFGHJKLMNPQRSTUVWX"  # latitude bands; I and O are left out
 
 
 def parse_coordinates(df: DataFrame, text: str, lat: str = "lat", lng: str = "lng", utm_only: bool = False) -> DataFrame:
     """Messy text to degrees: MGRS, then UTM with a zone band or the word UTM,
-    then the first two numbers. Decimal commas are accepted. Adds ``kind`` too."""
-    t = F.trim(col(text))
-    up = F.upper(t)
+    then the first two numbers. Decimal commas are accepted. Adds ``kind`` too.
 
-    def number(c: Column) -> Column:
-        return F.replace(c, F.lit(","), F.lit(".")).try_cast("double")
+    The zone is the first whole number of at most two digits with a band letter glued to it,
+    or else, beside the word UTM, the first such number without letter. It is taken out
+    before easting and northing are looked for: the numbers marked with E and N where both
+    are, else the first two that are left.
+    """
+
+    def numeric(t: Column) -> Column:
+        return t.rlike("^[+-]?[0-9]")
+
+    def number(t: Column) -> Column:
+        return F.translate(F.regexp_replace(t, "[A-Z]$", ""), ",", ".").try_cast("double")
+
+    def first_like(pattern: str) -> Column:
+        return F.array_position(F.transform("__tokens", lambda t: t.rlike(pattern)), True)
+
+    def marked(letter: str) -> Column:
+        hits = F.filter(
+            "__rest", lambda t, i: numeric(t) & (t.endswith(letter) | (F.get("__rest", i + 1) == letter))
+        )
+        return F.get(hits, F.lit(0))
 
     df = parse_mgrs(df, text, "__mx", "__my", "__mz", "__mb")
+    df = df.withColumn("__tokens", F.regexp_extract_all(F.upper(col(text)), F.lit(TOKEN), F.lit(0)))
+    banded, bare = first_like(f"^[0-9]{{1,2}}[{BANDS}]$"), first_like("^[0-9]{1,2}$")
+    df = df.withColumn(
+        "__at", F.when(banded > 0, banded).when(F.array_contains("__tokens", "UTM") & (bare > 0), bare)
+    )
+    df = df.withColumn("__rest", F.filter("__tokens", lambda t, i: i + 1 != F.coalesce(F.col("__at"), F.lit(0))))
     df = df.withColumns(
         {
-            "__nums": F.regexp_extract_all(t, F.lit(NUMBER), F.lit(0)),
-            "__band": F.regexp_extract(up, ZONE_AND_BAND, 2),
-            "__ztext": F.when(up.rlike(ZONE_AND_BAND), F.regexp_extract(up, ZONE_AND_BAND, 1)).otherwise(
-                F.regexp_extract(up, ZONE_ONLY, 1)
-            ),
-            "__etext": F.regexp_extract(t, EAST_NUMBER, 1),
-            "__ntext": F.regexp_extract(t, NORTH_NUMBER, 1),
+            "__nums": F.filter("__tokens", numeric),
+            "__left": F.filter("__rest", numeric),
+            "__e": marked("E"),
+            "__n": marked("N"),
+            "__zone_text": F.get("__tokens", F.col("__at").cast("int") - 1),
         }
     )
-    nums = F.col("__nums")
-    marked = (F.col("__etext") != "") & (F.col("__ntext") != "")
-    skip = F.when((F.size(nums) >= 3) & (F.get(nums, F.lit(0)) == F.col("__ztext")), 1).otherwise(0)
-    as_utm = (
-        F.col("__mz").isNull()
-        & (F.col("__ztext") != "")
-        & (F.size(nums) >= 2)
-        & ((F.col("__band") != "") | up.rlike(r"\bUTM\b"))
-    )
+    nums, left = F.col("__nums"), F.col("__left")
+    both = F.col("__e").isNotNull() & F.col("__n").isNotNull()
+    as_utm = F.col("__mz").isNull() & F.col("__at").isNotNull() & (F.size(left) >= 2)
+    east = F.when(both, F.col("__e")).otherwise(F.get(left, F.lit(0)))
+    north = F.when(both, F.col("__n")).otherwise(F.get(left, F.lit(1)))
+    band = F.regexp_extract("__zone_text", "[A-Z]$", 0)
     df = df.withColumns(
         {
-            "__x": F.coalesce(
-                F.col("__mx"), F.when(as_utm, number(F.when(marked, F.col("__etext")).otherwise(F.get(nums, skip))))
-            ),
-            "__y": F.coalesce(
-                F.col("__my"), F.when(as_utm, number(F.when(marked, F.col("__ntext")).otherwise(F.get(nums, skip + 1))))
-            ),
-            "__zone": F.coalesce(F.col("__mz"), F.when(as_utm, F.col("__ztext").try_cast("int"))),
-            "__zband": F.coalesce(F.col("__mb"), F.when(F.col("__band") != "", F.col("__band")), F.lit("N")),
+            "__x": F.coalesce(F.col("__mx"), F.when(as_utm, number(east))),
+            "__y": F.coalesce(F.col("__my"), F.when(as_utm, number(north))),
+            "__zone": F.coalesce(F.col("__mz"), F.when(as_utm, F.regexp_extract("__zone_text", "^[0-9]+", 0).try_cast("int"))),
+            "__zband": F.coalesce(F.col("__mb"), F.when(band != "", band), F.lit("N")),
         }
     )
     df = from_utm(df, "__x", "__y", "__zone", "__zband", "__lat", "__lng")
@@ -269,6 +279,6 @@ def parse_coordinates(df: DataFrame, text: str, lat: str = "lat", lng: str = "ln
             "kind": kind,
         }
     ).drop(
-        "__mx", "__my", "__mz", "__mb", "__nums", "__band", "__ztext", "__etext", "__ntext",
+        "__mx", "__my", "__mz", "__mb", "__tokens", "__at", "__rest", "__nums", "__left", "__e", "__n", "__zone_text",
         "__x", "__y", "__zone", "__zband", "__lat", "__lng",
     )
