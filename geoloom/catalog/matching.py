@@ -8,6 +8,7 @@ from geoloom import points as P
 from geoloom import rules
 from geoloom.catalog import sql as S
 from geoloom.catalog.places import CLASS_SQL, CLASSES, part
+from geoloom.functions.core import beside_one_row
 from geoloom.operators import matching as M
 from geoloom.operators.proximity import connected_groups, near_pairs, point_columns
 from geoloom.operators.utm import with_utm
@@ -33,7 +34,8 @@ def incoming(spark, d):
     c = table(spark, d, "customer").select("c_custkey")
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_size")
     k = F.col("c_custkey")
-    j = c.withColumn("p_partkey", k * 7 % 1999).join(p, "p_partkey")
+    c = beside_one_row(c, p.agg(F.max("p_partkey").alias("__parts")))
+    j = c.withColumn("p_partkey", k * 7 % F.col("__parts") + 1).drop("__parts").join(p, "p_partkey")
     j = P.with_region(j, "p_partkey").withColumns(
         {"lat": F.col("lat") + (k % 40) * F.lit(0.001), "lng": F.col("lng") + (k % 3) * F.lit(0.0005)}
     )
@@ -68,7 +70,7 @@ def incoming_refs(spark, d):
 
 HELD = f"""ph AS (SELECT p_partkey AS k, lower(p_name) AS nk0, {CLASS_SQL} AS cls, p_partkey % 3 AS rg, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE CAST(p_partkey % 4 AS VARCHAR) END AS ds, {P.SQL_REGION.format(k='p_partkey')} FROM part),
 {S.utm_ctes('ph', 'hu')}, h AS (SELECT k, replace(nk0, ' ', '') AS nk, cls, rg, ds, CASE WHEN k % 9 <> 4 THEN ex END AS x, ny AS y, zone, lat, lng, CASE WHEN k % 2 = 0 THEN k ELSE 0 END AS osm FROM hu)"""
-INC = f"""ci AS (SELECT c_custkey AS k, c_custkey * 7 % 1999 AS pk FROM customer), cj AS (SELECT ci.k, pk, lower(p_name) AS nk0, list_extract(['city','town','village','hamlet','isolated_dwelling'], CAST((p_size + ci.k % 2) % 5 AS INTEGER) + 1) AS cls, pk % 3 AS rg,
+INC = f"""ci AS (SELECT c_custkey AS k, c_custkey * 7 % (SELECT max(p_partkey) FROM part) + 1 AS pk FROM customer), cj AS (SELECT ci.k, pk, lower(p_name) AS nk0, list_extract(['city','town','village','hamlet','isolated_dwelling'], CAST((p_size + ci.k % 2) % 5 AS INTEGER) + 1) AS cls, pk % 3 AS rg,
  CASE WHEN pk % 4 = 0 THEN '' ELSE CAST(pk % 4 AS VARCHAR) END AS ds, 5.5e0 + ((pk*7919) % 10000)/1e4 + (ci.k % 3) * 0.0005e0 AS lng, 49e0 + ((pk*104729) % 10000)/1e4 + (ci.k % 40) * 0.001e0 AS lat FROM ci JOIN part ON p_partkey = pk),
 {S.utm_ctes('cj', 'iu')}, i AS (SELECT k, pk, replace(nk0, ' ', '') AS nk, cls, rg, ds, CASE WHEN k % 5 <> 2 THEN ex END AS x, ny AS y, zone, lat, lng, CASE WHEN k % 6 = 1 THEN pk ELSE 0 END AS osm FROM iu)"""
 DIST = f"CASE WHEN i.zone = h.zone THEN sqrt(pow(i.x - h.x, 2) + pow(i.y - h.y, 2)) ELSE {S.hav('i.lat', 'i.lng', 'h.lat', 'h.lng', 6371000)} END"
@@ -151,7 +153,9 @@ def label_nodes(spark, d):
     """Every fifth relation names one or two label nodes."""
     k = F.col("c_custkey")
     c = table(spark, d, "customer").filter(k % 5 == 0)
-    return c.select(k.alias("relation_id"), F.explode(F.array((k * 7 % 1999).cast("bigint"), (k * 7 % 1999 + 64).cast("bigint"))).alias("node_id"))
+    c = beside_one_row(c, table(spark, d, "part").agg(F.max("p_partkey").alias("__parts")))
+    near = (k * 7 % F.col("__parts") + 1).cast("bigint")
+    return c.select(k.alias("relation_id"), F.explode(F.array(near, near + 64)).alias("node_id"))
 
 
 LINKS = """ln AS (SELECT k, pk AS node FROM i WHERE k % 5 = 0 UNION SELECT k, pk + 64 FROM i WHERE k % 5 = 0),
@@ -182,7 +186,7 @@ def link_relations(spark, d):
 
 @query(
     "attach_residential",
-    f"""WITH {HELD}, ca AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN 'none' ELSE replace(lower(p_name), ' ', '') END AS nk, {P.SQL_REGION.format(k='s_suppkey*41')} FROM supplier JOIN part ON p_partkey = s_suppkey), {S.utm_ctes('ca', 'a')},
+    f"""WITH {HELD}, ca AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN 'none' ELSE replace(lower(p_name), ' ', '') END AS nk, {P.SQL_REGION.format(k='s_suppkey*41')} FROM supplier JOIN part ON p_partkey = s_suppkey), {S.utm_ctes('ca', 'a31', '31')}, {S.utm_ctes('ca', 'a32', '32')}, a AS (SELECT * FROM a31 UNION ALL SELECT * FROM a32),
 nm AS (SELECT a.k, h.k AS hk, sqrt(pow(a.ex - h.x, 2) + pow(a.ny - h.y, 2)) AS m, a.nk = h.nk AS named FROM a JOIN h ON a.zone = h.zone AND h.x IS NOT NULL),
 r1 AS (SELECT k, arg_min(hk, (m, hk)) AS hk FROM nm WHERE named GROUP BY 1), r2 AS (SELECT k, arg_min(hk, (m, hk)) AS hk FROM nm WHERE m <= 8000 AND k NOT IN (SELECT k FROM r1) GROUP BY 1)
 SELECT k AS area_id, hk AS place_id FROM r1 UNION ALL SELECT k, hk FROM r2""",
@@ -191,8 +195,8 @@ def attach_residential(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey")
     p = table(spark, d, "part").select(F.col("p_partkey").alias("s_suppkey"), "p_name")
     a = s.join(p, "s_suppkey").withColumn("__k", F.col("s_suppkey") * 41)
-    a = with_utm(P.with_region(a, "__k"))
-    areas = a.select(F.col("s_suppkey").alias("area_id"), F.when(F.col("s_suppkey") % 3 == 0, "none").otherwise(F.col("p_name")).alias("name"), "utm_zone", "x", "y")
+    a = P.with_region(a, "__k")
+    areas = a.select(F.col("s_suppkey").alias("area_id"), F.when(F.col("s_suppkey") % 3 == 0, "none").otherwise(F.col("p_name")).alias("name"), "lat", "lng")
     return M.attach_residential(areas, held(spark, d))
 
 

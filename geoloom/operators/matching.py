@@ -218,14 +218,17 @@ def link_relations(
 
 def attach_residential(areas: DataFrame, places: DataFrame) -> DataFrame:
     """area_id, place_id: nearest place of the same name at any distance, else the
-    nearest place within 8 km. Points are x, y in one zone per row."""
-    from geoloom.operators.spatial import nearest_segments
+    nearest place within 8 km. Areas are at lat, lng; places have x, y in one zone per row,
+    and every zone that holds places is searched."""
+    from geoloom.operators.spatial import nearest_segments, with_zones_in_use, zone_bounds
 
-    a = areas.select("area_id", normalize_name("name").alias("name_key"), "utm_zone", "x", "y")
     p = places.filter("x IS NOT NULL").select(
         "place_id", normalize_name("name").alias("name_key"), "utm_zone",
         F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x").alias("bx"), F.col("y").alias("by"),
     )
+    used = zone_bounds(p, F.col("ax"), F.col("ay"), F.col("ax"), F.col("ay"))
+    a = with_zones_in_use(areas.select("area_id", normalize_name("name").alias("name_key"), "lat", "lng"), used)
+    a = a.select("area_id", "name_key", "utm_zone", "x", "y")
     named = nearest_segments(a.filter("name_key <> ''"), p.filter("name_key <> ''"), "area_id", ["place_id"], ["name_key", "utm_zone"])
     rest = a.join(named.select("area_id"), "area_id", "left_anti")
     near = nearest_segments(rest, p, "area_id", ["place_id"], ["utm_zone"], max_distance=rules.RESIDENTIAL_LIMIT_M)

@@ -8,11 +8,14 @@ up on each level in use, so a pair meets in exactly one cell.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions import rings as G
+from geoloom.functions.core import beside_one_row
 from geoloom.operators.skew import skew_join
 from geoloom.operators.utm import utm_zone, with_utm
 from geoloom.session import cut_lineage
@@ -103,6 +106,21 @@ def with_nearby_zones(
     return with_utm(out, F.col("__try_zone"), lat, lng, x, y, zone, band).drop("__try_zone")
 
 
+def zone_bounds(shapes: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, zone: str = "utm_zone") -> DataFrame:
+    """The UTM zones in use with the box of all that lies in each: at most 60 rows."""
+    known = shapes.filter(F.col(zone).between(1, 60))
+    return known.groupBy(F.col(zone).cast("int").alias("__try_zone")).agg(
+        F.min(x0).alias("__zx0"), F.min(y0).alias("__zy0"), F.max(x1).alias("__zx1"), F.max(y1).alias("__zy1")
+    )
+
+
+def with_zones_in_use(points: DataFrame, bounds: DataFrame, lat: str = "lat", lng: str = "lng") -> DataFrame:
+    """Each point once in every zone of :func:`zone_bounds`, however far away, with the zone's box."""
+    tried = points.withColumn("__try_zone", F.explode(F.sequence(F.lit(1), F.lit(60))))
+    tried = tried.join(F.broadcast(bounds), "__try_zone")
+    return with_utm(tried, F.col("__try_zone"), lat, lng, "x", "y").drop("__try_zone")
+
+
 def segments_of(polygons: DataFrame, keep: Sequence[str], outer: str = "outer", holes: str = "holes") -> DataFrame:
     """Boundary edges of polygons, one row each: ``keep`` plus ax ay bx by."""
     all_rings = F.concat(F.array(F.col(outer)), F.coalesce(F.col(holes), F.array().cast(f"array<{G.RING}>")))
@@ -120,28 +138,47 @@ def nearest_segments(
     y: str = "y",
     start: float = 2000.0,
     max_distance: float | None = None,
-    limit: float = 4.0e7,
 ) -> DataFrame:
     """For each point the nearest segment (ax ay bx by; a place is a segment of
     length zero): ``point_id``, the candidate columns and ``distance_m``. Ties go to
     the smallest candidate columns in their order.
 
-    Rounds of growing cells: a cell and its eight neighbours cover every segment
-    within one cell size, so a best distance up to that size is final; only the
-    other points go on to the next round. Copies of one location are taken as
-    one candidate first.
+    ``points`` may hold a point more than once, under several ``on`` keys (such as the UTM
+    zones in use); its nearest segment over all of them counts. A point without finite
+    coordinates, or without any candidate under its keys, gets no row.
+
+    Rounds of growing cells: a cell and its eight neighbours cover every segment within one
+    cell size, so a best distance up to that size is final; only the other points go on to
+    the next round. A point takes part in a round only under keys whose segments have a
+    bounding box within the cell size, and rounds in which no point does are left out.
+    Copies of one location are taken as one candidate first.
     """
     place = ["ax", "ay", "bx", "by"]
-    unique = segments.groupBy(*on, *place).agg(F.min(F.struct(*candidate)).alias("__cand"))
+    finite = [F.abs(F.col(c)) < float("inf") for c in place]
+    unique = segments.filter(reduce(and_, finite)).groupBy(*on, *place).agg(F.min(F.struct(*candidate)).alias("__cand"))
     unique = cut_lineage(unique)  # every round reads it
-    left = points.select(point_id, *on, x, y)
-    if on:
-        # a point whose keys have no candidate at all would go through every round
-        left = left.join(unique.select(*on).distinct(), list(on), "left_semi")
+    box = unique.groupBy(*on).agg(
+        F.min(F.least("ax", "bx")).alias("__lx"), F.min(F.least("ay", "by")).alias("__ly"),
+        F.max(F.greatest("ax", "bx")).alias("__hx"), F.max(F.greatest("ay", "by")).alias("__hy"),
+    )
+    left = points.select(point_id, *on, x, y).filter((F.abs(F.col(x)) < float("inf")) & (F.abs(F.col(y)) < float("inf")))
+    left = left.join(box, list(on)) if on else beside_one_row(left, box)
+    beyond = (
+        F.greatest(F.col("__lx") - F.col(x), F.col(x) - F.col("__hx"), F.lit(0.0)),
+        F.greatest(F.col("__ly") - F.col(y), F.col(y) - F.col("__hy"), F.lit(0.0)),
+    )
+    left = left.withColumn("__gap", F.hypot(*beyond)).filter("__gap IS NOT NULL").drop("__lx", "__ly", "__hx", "__hy")
+    if max_distance is not None:
+        left = left.filter(F.col("__gap") <= max_distance)
     left = cut_lineage(left)
     done: DataFrame | None = None
     size = start
     while True:
+        nearest_box = left.agg(F.min("__gap")).first()[0]
+        if nearest_box is None:
+            return done if done is not None else _no_nearest(points, unique, point_id)
+        while size < nearest_box and (max_distance is None or size < max_distance):
+            size *= LEVEL_FACTOR
         cell = F.lit(size)
         # long segments are cut into pieces no longer than a cell before covering
         pieces = F.greatest(
@@ -158,7 +195,8 @@ def nearest_segments(
         cover = cover.withColumn("__cy", F.explode(F.sequence(F.floor(F.least(*ys) / cell), F.floor(F.greatest(*ys) / cell))))
         cover = cover.select(*on, *place, "__cand", "__cx", "__cy").distinct()
         around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-        near = left.withColumn("__dx", F.explode(around)).withColumn("__dy", F.explode(around))
+        near = left.filter(F.col("__gap") <= size).drop("__gap")
+        near = near.withColumn("__dx", F.explode(around)).withColumn("__dy", F.explode(around))
         near = near.withColumns(
             {"__cx": F.floor(F.col(x) / cell) + F.col("__dx"), "__cy": F.floor(F.col(y) / cell) + F.col("__dy")}
         ).drop("__dx", "__dy")
@@ -169,14 +207,17 @@ def nearest_segments(
         bound = size if max_distance is None else min(size, max_distance)
         settled = cut_lineage(best.filter(F.col("__b.distance_m") <= bound).select(point_id, "__b.distance_m", "__b.__cand.*"))
         done = settled if done is None else done.unionByName(settled)
-        if final_round or size > limit:
+        if final_round:
             return done
         left = cut_lineage(left.join(settled, point_id, "left_anti"))
-        if left.isEmpty():
-            return done
         size *= LEVEL_FACTOR
 
 
+def _no_nearest(points: DataFrame, unique: DataFrame, point_id: str) -> DataFrame:
+    empty = points.select(point_id).limit(0).withColumn("distance_m", F.lit(0.0)).withColumn("__one", F.lit(1))
+    return empty.join(unique.select("__cand.*").withColumn("__one", F.lit(1)), "__one").drop("__one")
+
+
 def locate_points(
     points: DataFrame,
     polygons: DataFrame,
@@ -187,28 +228,33 @@ def locate_points(
     lng: str = "lng",
 ) -> DataFrame:
     """The place of each point: the containing polygon with the least net area,
-    otherwise the nearest polygon edge or, for places without polygon, center.
+    otherwise the nearest polygon edge or, for places without polygon, center. A point is
+    projected into every zone that holds places, so distance and zones set no limit.
 
     ``polygons``: place_id, utm_zone, outer, holes (chosen rings only).
     ``centers``: place_id, utm_zone, x, y of places that have no polygon.
     """
-    zoned = with_nearby_zones(points.select(point_id, lat, lng), lat, lng).select(point_id, "utm_zone", "x", "y")
     shapes = polygons.select(
         F.col(place_id).alias("__place"), "utm_zone", "outer", "holes", G.net_area("outer", "holes").alias("__area")
     )
-    hits = pairs_in_polygons(zoned, shapes, ["utm_zone"])
-    inside = hits.groupBy(point_id).agg(F.min(F.struct("__area", "__place")).alias("__b"))
-    inside = inside.select(
-        point_id, F.col("__b.__place").alias(place_id), F.lit(0.0).alias("distance_m"), F.lit(True).alias("inside")
-    )
-    inside = cut_lineage(inside)
-    rest = zoned.join(inside, point_id, "left_anti")
     edges = segments_of(shapes, ["__place", "utm_zone"])
     dots = centers.select(
         F.col(place_id).alias("__place"), "utm_zone", F.col("x").alias("ax"), F.col("y").alias("ay"),
         F.col("x").alias("bx"), F.col("y").alias("by"),
     )
-    near = nearest_segments(rest, edges.unionByName(dots), point_id, ["__place"], ["utm_zone"])
+    everything = edges.unionByName(dots)
+    used = cut_lineage(zone_bounds(everything, F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by")))
+    zoned = with_zones_in_use(points.select(point_id, lat, lng), used, lat, lng)
+    slack = F.lit(1.0)
+    boxed = F.col("x").between(F.col("__zx0") - slack, F.col("__zx1") + slack) & F.col("y").between(F.col("__zy0") - slack, F.col("__zy1") + slack)
+    hits = pairs_in_polygons(zoned.filter(boxed).select(point_id, "utm_zone", "x", "y"), shapes, ["utm_zone"])
+    inside = hits.groupBy(point_id).agg(F.min(F.struct("__area", "__place")).alias("__b"))
+    inside = inside.select(
+        point_id, F.col("__b.__place").alias(place_id), F.lit(0.0).alias("distance_m"), F.lit(True).alias("inside")
+    )
+    inside = cut_lineage(inside)
+    rest = zoned.select(point_id, "utm_zone", "x", "y").join(inside, point_id, "left_anti")
+    near = nearest_segments(rest, everything, point_id, ["__place"], ["utm_zone"])
     return inside.unionByName(
         near.select(point_id, F.col("__place").alias(place_id), "distance_m", F.lit(False).alias("inside"))
     )

@@ -51,7 +51,10 @@ def with_utm(
     ok = (la >= -80) & (la <= 84) & (ln >= -180) & (ln <= 180)
     z = utm_zone(ln) if zone is None else F.greatest(F.lit(1), F.least(F.lit(60), num(zone).cast("int")))
     df = df.withColumn("__zone", F.when(ok, z))
-    df = df.withColumns({"__uphi": F.radians(la), "__udl": F.radians(ln) - _central_meridian(F.col("__zone"))})
+    away = F.radians(ln) - _central_meridian(F.col("__zone"))
+    # a requested zone may lie beyond the 180th meridian
+    away = F.when(F.abs(away) > math.pi, away - F.signum(away) * (2 * math.pi)).otherwise(away)
+    df = df.withColumns({"__uphi": F.radians(la), "__udl": away})
     df = transverse.forward(
         df, "__uphi", "__udl", "__ux", "__uy", ES, SCALE, 500000.0,
         F.when(la < 0, F.lit(10000000.0)).otherwise(F.lit(0.0)),

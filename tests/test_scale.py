@@ -3,6 +3,8 @@
 import math
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from geoloom import points as P
@@ -74,6 +76,23 @@ def test_nearest_equals_brute_force(spark):
     assert {r.point_id for r in near} == {q[0] for q in pts if min(dist(q, x) for x in segs) <= 3000.0}
 
 
+@pytest.mark.parametrize(
+    "places, point, want",
+    [
+        ([(1, 48.0, 7.0), (2, 48.0, 20.9)], (48.0, 60.0), 2),
+        ([(1, 48.0, 7.0), (2, 48.0, 18.1)], (48.0, 14.9), 2),
+        ([(1, 10.0, -179.9), (2, 10.0, 179.0)], (10.0, 179.9), 1),
+    ],
+)
+def test_nearest_place_in_any_zone(spark, places, point, want):
+    from geoloom.operators.utm import with_utm
+
+    centers = with_utm(spark.createDataFrame(places, "place_id bigint, lat double, lng double")).select("place_id", "utm_zone", "x", "y")
+    none = centers.limit(0).select("place_id", "utm_zone", F.array().cast("array<struct<x:double,y:double>>").alias("outer"), F.array().cast("array<array<struct<x:double,y:double>>>").alias("holes"))
+    got = S.locate_points(spark.createDataFrame([(5, *point)], "point_id bigint, lat double, lng double"), none, centers).collect()
+    assert [(r.point_id, r.place_id, r.inside) for r in got] == [(5, want, False)]
+
+
 def test_polygons_of_all_sizes(spark):
     from geoloom.functions import rings as G
 
