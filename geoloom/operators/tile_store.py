@@ -42,8 +42,9 @@ def lookup_tiles(
     """Each request with the tile of the first store that holds it and that
     store's name; a store that holds a key twice gives its oldest row.
 
-    All stores meet the requests in one grouping by key, so nothing is joined
-    store by store and repeated requests of one hot tile stay separate rows.
+    The store and time of the winner are found without the tiles, among requested keys only;
+    then the winner's tile is fetched. Where few keys are requested, no tile but theirs is
+    shuffled. Rows of one store with equal times give the least tile.
     """
     held = None
     for rank, (name, store) in enumerate(stores):
@@ -51,8 +52,11 @@ def lookup_tiles(
             *key, F.lit(rank).alias("__rank"), F.lit(name).alias("source"), F.col(order).alias("__at"), F.col(value)
         )
         held = part if held is None else held.unionByName(part)
-    best = held.groupBy(*key).agg(F.min(F.struct("__rank", "__at", "source", value)).alias("__b"))
-    found = best.select(*key, F.col("__b.source").alias("source"), F.col(f"__b.{value}").alias(value))
+    wanted = requests.select(*key).distinct()
+    best = held.drop(value, "source").join(wanted, list(key), "left_semi")
+    best = best.groupBy(*key).agg(F.min(F.struct("__rank", "__at")).alias("__b"))
+    won = held.join(best, list(key)).filter(F.struct("__rank", "__at").eqNullSafe(F.col("__b")))
+    found = won.groupBy(*key).agg(F.first("source").alias("source"), F.min(value).alias(value))
     return requests.join(found, list(key), "left")
 
 
