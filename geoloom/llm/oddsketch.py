@@ -151,7 +151,7 @@ def looks_close(x: str, y: str, percent: int, bins: int, bits: int, miss_sd: flo
     return sizes & (match + spread * miss_sd >= filled * j)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, bands: int = 48, rows: int = 5, bins: int = 2048, bits: int = 4096, miss_sd: float = 4.5, tries: int = 4, block: int = 2048, small_ids: int = 2_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, bands: int = 48, rows: int = 5, bins: int = 2048, bits: int = 4096, miss_sd: float = 4.5, tries: int = 4, block: int = 2048, share: int = 128, small_ids: int = 2_000_000) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``.
 
     Documents with equal shingle sets form a class and only its smallest id goes on. Classes
@@ -161,7 +161,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     confirms the best such pair on the full sets. Round two looks at buckets whose members are in more than one component
     and confirms every pair across components that the odd sketches leave open. Pairs within
     a component need no look, so a group of near copies costs a few pairs per member.
-    Buckets above ``block`` members are compared in parts, spread over tasks.
+    Buckets above ``block`` members are compared in parts, spread over tasks, and so are the
+    pairs of a document with more than ``share`` of them when they are confirmed.
     Confirmation compares sets of 64-bit hashes of the shingles.
 
     Null and empty texts have no shingles and are linked with nothing. A row without an id
@@ -194,9 +195,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ids = staged(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
         text = staged(own.join(if_small(ids, small_ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
         side = [text.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab"]
+        # the pairs of a hub are dealt over parts of about `share`, and its text goes to each of them
+        hubs = staged(pairs.groupBy("a").agg(F.ceil(F.count("*") / share).cast("int").alias("parts")).where("parts > 1"), "hubs")
+        part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")
+        dealt = pairs.join(if_small(hubs, small_ids), "a", "left").select("a", "b", part.alias("part"))
+        first = dealt.select("a", "part").distinct().join(side[0], "a")
         # few bytes but much work: as many tasks as shuffles have
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        return pairs.join(side[1], "b").repartition(tasks, "a").join(side[0], "a").select("a", "b", "text_a", "text_b").mapInArrow(confirmer(width, percent), "a long, b long")
+        both = dealt.join(side[1], "b").repartition(tasks, "a", "part").join(first, ["a", "part"])
+        return both.select("a", "b", "text_a", "text_b").mapInArrow(confirmer(width, percent), "a long, b long")
 
     # of the buckets' smallest members, those that a class meets in most bands
     often = members.where("node <> hub").groupBy("node", "hub").count()
