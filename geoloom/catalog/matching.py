@@ -60,7 +60,7 @@ def held_refs(spark, d):
 
 def incoming_refs(spark, d):
     k = F.col("c_custkey")
-    return table(spark, d, "customer").filter(k % 11 == 3).select(
+    return table(spark, d, "customer").select(
         k.alias("place_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("seq"), "c_custkey"
     ).select(
         "place_id", "seq", F.when(F.col("seq") == 0, F.upper(F.lit(rules.OSM))).otherwise("geo/test").alias("provider"),
@@ -76,7 +76,7 @@ INC = f"""ci AS (SELECT c_custkey AS k, c_custkey * 7 % (SELECT max(p_partkey) F
 DIST = f"CASE WHEN i.zone = h.zone THEN sqrt(pow(i.x - h.x, 2) + pow(i.y - h.y, 2)) ELSE {S.hav('i.lat', 'i.lng', 'h.lat', 'h.lng', 6371000)} END"
 LIMIT = "CASE icls WHEN 'city' THEN 8000 WHEN 'town' THEN 5000 WHEN 'village' THEN 2500 WHEN 'hamlet' THEN 1500 ELSE 800 END"
 REFS = f"""hr AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 'openstreetmap/overpass' ELSE 'geo/test' END AS pr, CAST(p_partkey % 700 AS VARCHAR) AS e, CASE WHEN p_partkey % 4 = 0 THEN 'node' ELSE 'way' END AS f FROM part),
-ir AS (SELECT c_custkey AS k, 0 AS seq, 'openstreetmap/overpass' AS pr, CAST(c_custkey % 900 AS VARCHAR) AS e, 'node' AS f FROM customer WHERE c_custkey % 11 = 3 UNION ALL SELECT c_custkey, 1, 'geo/test', CAST(c_custkey * 3 % 900 AS VARCHAR), 'node' FROM customer WHERE c_custkey % 11 = 3),
+ir AS (SELECT c_custkey AS k, 0 AS seq, 'openstreetmap/overpass' AS pr, CAST(c_custkey % 900 AS VARCHAR) AS e, 'node' AS f FROM customer UNION ALL SELECT c_custkey, 1, 'geo/test', CAST(c_custkey * 3 % 900 AS VARCHAR), 'node' FROM customer),
 mr AS (SELECT ir.k AS k, arg_min(hr.k, (seq, hr.k)) AS hk FROM ir JOIN hr ON ir.pr = hr.pr AND ir.e = hr.e AND (ir.pr <> 'openstreetmap/overpass' OR ir.f = hr.f) GROUP BY 1)"""
 OSMM = "mo AS (SELECT i.k, min(h.k) AS hk FROM i JOIN h ON i.osm > 0 AND h.osm = i.osm GROUP BY 1)"
 CTX = "mc0 AS (SELECT i.k, h.k AS hk FROM i JOIN h ON i.nk = h.nk AND i.rg = h.rg AND i.ds = h.ds AND i.cls = h.cls), mc AS (SELECT k, min(hk) AS hk FROM mc0 GROUP BY 1 HAVING count(*) = 1)"
@@ -150,15 +150,15 @@ def relations(spark, d):
 
 
 def label_nodes(spark, d):
-    """Every fifth relation names one or two label nodes."""
+    """Every relation names two label nodes; some of them are held."""
     k = F.col("c_custkey")
-    c = table(spark, d, "customer").filter(k % 5 == 0)
+    c = table(spark, d, "customer")
     c = beside_one_row(c, table(spark, d, "part").agg(F.max("p_partkey").alias("__parts")))
     near = (k * 7 % F.col("__parts") + 1).cast("bigint")
     return c.select(k.alias("relation_id"), F.explode(F.array(near, near + 64)).alias("node_id"))
 
 
-LINKS = """ln AS (SELECT k, pk AS node FROM i WHERE k % 5 = 0 UNION SELECT k, pk + 64 FROM i WHERE k % 5 = 0),
+LINKS = """ln AS (SELECT k, pk AS node FROM i UNION SELECT k, pk + 64 FROM i),
 nd AS (SELECT k AS hk, osm AS node FROM h WHERE osm > 0 UNION SELECT k, CAST(e AS BIGINT) FROM hr WHERE pr = 'openstreetmap/overpass' AND f = 'node'),
 ex AS (SELECT DISTINCT ln.k, nd.hk FROM ln JOIN nd ON ln.node = nd.node)"""
 

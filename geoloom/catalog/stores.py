@@ -77,10 +77,10 @@ def hit_source_counts(spark, d):
     return Y.hit_source_counts(s)
 
 
-@query("union_stores", ST + " SELECT type, zoom, x, y FROM s WHERE id % 3 = 0 UNION SELECT type, zoom, x, y FROM s WHERE id % 2 = 0")
+@query("union_stores", ST + " SELECT type, zoom, x, y FROM s WHERE id % 3 <> 1 UNION SELECT type, zoom, x, y FROM s WHERE id % 3 <> 2")
 def union_stores(spark, d):
     s = store(spark, d).select("id", "type", "zoom", "x", "y")
-    return T.union_stores(s.filter("id % 3 = 0").drop("id"), s.filter("id % 2 = 0").drop("id"))
+    return T.union_stores(s.filter("id % 3 <> 1").drop("id"), s.filter("id % 3 <> 2").drop("id"))
 
 
 @query("tile_count", ST + " SELECT count(*) AS tiles FROM s")
