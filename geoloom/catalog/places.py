@@ -269,13 +269,13 @@ def first_match(spark, d):
 
 @query(
     "dedupe_first_places",
-    f"WITH s AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'node:' || (p_partkey % 500) ELSE lower(p_name || ':' || {CLASS_SQL}) END AS k FROM part) SELECT min(p_partkey) AS p_partkey FROM s WHERE k <> 'node:0' GROUP BY k",
+    f"WITH s AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 500 <> 0 THEN 'node:' || (p_partkey % 500) ELSE lower(p_name || ':' || {CLASS_SQL}) END AS k FROM part) SELECT min(p_partkey) AS p_partkey FROM s GROUP BY k",
 )
 def dedupe_first_places(spark, d):
     k = F.col("p_partkey")
     p = part(spark, d).withColumns(
-        {"osm_id": F.when(k % 3 == 0, F.when(k % 500 == 0, -1).otherwise(k % 500)).otherwise(0), "osm_type": F.lit("Node"), "name": F.col("p_name")}
-    ).filter("osm_id <> -1")
+        {"osm_id": F.when(k % 3 == 0, k % 500).otherwise(0), "osm_type": F.lit("Node"), "name": F.col("p_name")}
+    )
     return R.dedupe_first(p, R.place_key(), ["p_partkey"]).select("p_partkey")
 
 
