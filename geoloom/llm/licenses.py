@@ -1,10 +1,9 @@
-"""Licence scan: phrases, and templates found by the positions of their rare words."""
+"""Licence scan: phrases, and templates found by their key phrases and the places of their words."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from geoloom.llm.store import ascii_lower, if_small, pinned, staged
 
@@ -84,18 +83,18 @@ def _postings(spark: SparkSession, templates) -> DataFrame:
     return spark.sql(f"SELECT k AS template, tpos, word FROM VALUES {rows} AS t(k, text) LATERAL VIEW posexplode(split(text, ' ')) AS tpos, word")
 
 
-def scan_licenses(docs: DataFrame, text_col: str = "text", templates=TEMPLATES, common: float = 0.05, top: int = 8, slack: int = 16, votes: int = 4) -> DataFrame:
+def scan_licenses(docs: DataFrame, text_col: str = "text", templates=TEMPLATES, slack: int = 16, votes: int = 4) -> DataFrame:
     """``(row, n_words, n_base, first_word, last_word, base_labels, labels, score)`` for each row of ``docs``.
 
     Base labels come from places where the words of a phrase stand side by side. For the
-    rest, the document frequencies of all template words are counted; words in over a share ``common`` of
-    the texts are not looked up. The ``top`` rarest licence words of a text, at every place
-    they have, meet the postings of the templates, and vote for where a template would start
+    rest, each template whose key phrases all stand in a text is looked up there: its words, at every
+    place they have, meet its postings and vote for where the template would start
     (in windows of ``2 * slack`` words that overlap by half). A template counts with ``votes`` different places of
-    it, and with all its key phrases in the text. The score is 1 with a base label, else the
-    best share of the looked-up words that stand in place, else 0.
+    it. So a label depends on its text alone. The score is 1 with a base label, else the
+    best share of the template's words in the text that stand in place, else 0; there words weigh by their
+    rarity in the corpus, in millionths, so that sums are exact.
 
-    Texts are read twice and not shuffled; their digests stand for them, so copies are looked up once.
+    Texts are read and not shuffled; their digests stand for them, and windows are counted in the task that reads a text.
     A null text counts as empty and has no words; the columns of the input stay inside
     ``row``; repeated rows give equal results; an empty table gives no rows.
     """
@@ -109,31 +108,28 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates=TEMPLATES,
     vocabulary = if_small(postings.select("word").distinct(), 100_000)
     total = F.lit(df.count())
     seen = df.where("norm <> ''").select(F.explode(F.array_distinct(words)).alias("word")).join(vocabulary, "word").groupBy("word").agg(F.count("*").alias("n"))
-    rare = seen.where(F.col("n") <= F.greatest(total * common, F.lit(1.0))).select("word", F.log((total + 1) / F.col("n")).alias("idf"))
-    rare = staged(rare, "rare")
-
-    # pass two: places of rare words
-    hits = df.where("norm <> ''").select("digest", F.posexplode(words).alias("pos", "word")).join(if_small(rare, 100_000), "word")
-    hits = staged(hits.groupBy("digest", "word", "pos").agg(F.first("idf").alias("idf")), "hits")
-    rank = F.row_number().over(W.partitionBy("digest").orderBy(F.desc("idf"), "word"))
-    chosen = hits.select("digest", "word", "idf").distinct().withColumn("r", rank).where(F.col("r") <= top).select("digest", "word")
-    met = hits.join(chosen, ["digest", "word"]).join(if_small(postings, 1_000_000), "word")
+    weight = staged(seen.select("word", F.ceil(F.log((total + 1) / F.col("n")) * 1_000_000).alias("weight")), "weight")
+
+    # pass two: places of the templates whose key phrases stand in a text
+    wanted = F.array_compact(F.array(*(F.when(F.forall(F.array(*map(_has, need)), lambda b: b), k) for k, (_, need, _) in enumerate(templates))))
+    asked = pinned(df.select("norm", "digest"), wanted.alias("wanted")).where(F.size("wanted") > 0)
+    met = asked.select("digest", "wanted", F.posexplode(words).alias("pos", "word")).join(if_small(postings, 1_000_000), "word").where(F.array_contains("wanted", F.col("template")))
     start = F.floor((F.col("pos") - F.col("tpos")) / slack)
-    met = met.select("digest", "template", "word", "tpos", F.explode(F.array(start, start + 1)).alias("start"))
-    asked = chosen.join(if_small(postings, 1_000_000), "word").groupBy("digest", "template").agg(F.count_distinct("word").alias("asked"))
-    placed = met.groupBy("digest", "template", "start").agg(F.count_distinct("tpos").alias("places"), F.count_distinct("word").alias("n"))
-    placed = placed.where(F.col("places") >= votes).groupBy("digest", "template").agg(F.max("n").alias("n"))
-    found = placed.join(asked, ["digest", "template"]).groupBy("digest").agg(F.sort_array(F.collect_set(F.struct("template", (F.col("n") / F.col("asked")).alias("share")))).alias("found"))
+    met = met.select("digest", "template", "tpos", F.explode(F.array(start, start + 1)).alias("start"))
+    windows = staged(met.groupBy("digest", "template", "start").agg(F.collect_set("tpos").alias("places")), "windows")
+    spelled = windows.select("digest", "template", "start", F.size("places").alias("places"), F.explode("places").alias("tpos")).join(if_small(postings.join(weight, "word"), 1_000_000), ["template", "tpos"])
+    whole = spelled.select("digest", "template", "word", "weight").distinct().groupBy("digest", "template").agg(F.sum("weight").alias("whole"))
+    placed = spelled.where(F.col("places") >= votes).select("digest", "template", "start", "word", "weight").distinct().groupBy("digest", "template", "start").agg(F.sum("weight").alias("n"))
+    placed = placed.groupBy("digest", "template").agg(F.max("n").alias("n"))
+    found = placed.join(whole, ["digest", "template"]).groupBy("digest").agg(F.sort_array(F.collect_set(F.struct("template", (F.col("n") / F.col("whole")).alias("share")))).alias("found"))
 
     places = {p: F.split("norm", f" {p}(?= )", -1) for p in PHRASES}
     made = [F.when(_has(p), F.struct((F.size(x) - 1).alias("n"), _spaces(F.get(x, F.lit(0))).alias("first"), (_spaces(F.col("norm")) - 1 - (_spaces(F.element_at(x, -1)) - 1) - len(p.split())).alias("last"))).alias(f"p{k}") for k, (p, x) in enumerate(places.items())]
-    keys = [F.forall(F.array(*map(_has, need)), lambda b: b).alias(f"k{k}") for k, (_, need, _) in enumerate(templates)]
-    df = pinned(df, *made, *keys, F.greatest(_spaces(F.col("norm")) - 1, F.lit(0)).cast("long").alias("n_words"))
+    df = pinned(df, *made, F.greatest(_spaces(F.col("norm")) - 1, F.lit(0)).cast("long").alias("n_words"))
     known = df.drop("norm").join(found, "digest", "left")
     column = lambda name: F.array_compact(F.array(*(F.col(f"p{k}.{name}") for k in range(len(PHRASES)))))
     base = F.array_compact(F.array(*(F.when(F.col(f"p{k}").isNotNull(), label) for k, label in enumerate(PHRASES.values()))))
-    proven = F.filter("found", lambda x: F.get(F.array(*(F.col(f"k{k}") for k in range(len(templates)))), x["template"]))
-    known = pinned(known, base.alias("base"), F.coalesce(proven, F.expr("cast(array() as array<struct<template:int,share:double>>)")).alias("proven"))
+    known = pinned(known, base.alias("base"), F.coalesce("found", F.expr("cast(array() as array<struct<template:int,share:double>>)")).alias("proven"))
     names = F.array(*(F.lit(label) for label, _, _ in templates))
     every = F.concat("base", F.transform("proven", lambda x: F.get(names, x["template"])))
     joined = lambda c: F.array_join(F.sort_array(F.array_distinct(c)), ",")

@@ -118,6 +118,20 @@ def test_templates_without_their_name(spark):
     assert [(r[0], r[1], r[2]) for r in found] == [(999, "", "bsd")] and 0 < found[0][3] <= 1
 
 
+def test_templates_whatever_their_share(spark):
+    """A text that most rows carry, a table of three rows, and a file of all licences keep their labels."""
+    mit, notice = licenses.TEMPLATES[0][2], " and ".join(t for _, _, t in licenses.TEMPLATES)
+    rest = " ".join(f"the software {i} of any license without conditions" for i in range(300))
+    rows = [*((i, f"copy {i} {mit}") for i in range(60)), *((i, f"filler {i}") for i in range(60, 100)), (200, f"{rest} {notice} {rest}")]
+    for part in (rows, rows[-3:] + rows[:1]):
+        found = licenses.scan_licenses(spark.createDataFrame(part, "doc_id long, text string")).select("row.doc_id", "base_labels", "labels", "score").collect()
+        for r in found:
+            if r.doc_id == 200:
+                assert r.labels == ",".join(sorted(label for label, _, _ in licenses.TEMPLATES))
+            else:
+                assert (r.base_labels, r.labels, r.score) == (("", "mit", 1.0) if r.doc_id < 60 else ("", "", 0.0))
+
+
 def test_best_bounds_against_every_choice():
     histogram = {1: 5, 3: 1, 4: 7, 9: 2, 10: 4, 15: 1}
 
