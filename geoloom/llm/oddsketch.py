@@ -135,8 +135,9 @@ def looks_close(x: str, y: str, percent: int, bins: int, bits: int, miss_sd: flo
     The population count of the XOR gives the number of differing samples, and with it the
     matching ones. At the threshold the two set sizes fix the size of the union, the number
     of bins it fills, and so the matches to expect; more similar sets have more. Matches
-    scatter by sampling (less where nearly all of a set is sampled) and by parities that
-    cancel; a pair is turned down only when it is ``miss_sd`` standard deviations below.
+    scatter by the bins really filled, by sampling (less where nearly all of a set is sampled) and by parities that
+    cancel; a pair is turned down only when it is ``miss_sd`` standard deviations below, and
+    further where few shared bins skew the lower tail.
     """
     ones = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(bits // 64)))
     differ = F.lit(-bits / 2) * F.log(F.greatest(F.lit(1) - ones * F.lit(2.0 / bits), F.lit(1e-6)))
@@ -146,12 +147,15 @@ def looks_close(x: str, y: str, percent: int, bins: int, bits: int, miss_sd: flo
     filled = F.lit(float(bins)) * (1 - F.exp(-union / bins))
     apart = filled * (2 * (1 - j))
     noise = F.lit(bits / 4) * (F.exp(apart * (4.0 / bits)) - 1) - apart + 1
-    spread = F.sqrt(filled * (j * (1 - j)) * F.greatest(F.lit(1.0) - filled / union, F.lit(0.0)) + noise / 4 + 0.25)
+    full = union / bins
+    shared = F.lit(float(bins)) * (F.exp(-full) - (1 + full) * F.exp(-2 * full))
+    spread = filled * (j * (1 - j)) * F.greatest(F.lit(1.0) - filled / union, F.lit(0.0)) + noise / 4 + 0.25 + shared * j**2
+    skew = shared * (j**3 * (miss_sd**2 - 1) / 6) / spread
     sizes = F.least(f"{x}.n_shingles", f"{y}.n_shingles") * 100 >= F.greatest(f"{x}.n_shingles", f"{y}.n_shingles") * percent
-    return sizes & (match + spread * miss_sd >= filled * j)
+    return sizes & (match + F.sqrt(spread) * miss_sd + skew >= filled * j)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, bands: int = 48, rows: int = 5, bins: int = 2048, bits: int = 4096, miss_sd: float = 4.5, tries: int = 4, block: int = 2048, small_ids: int = 2_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, bands: int = 48, rows: int = 5, bins: int = 2048, bits: int = 4096, miss_sd: float = 5.0, tries: int = 4, block: int = 2048, small_ids: int = 2_000_000) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``.
 
     Documents with equal shingle sets form a class and only its smallest id goes on. Classes

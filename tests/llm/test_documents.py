@@ -67,6 +67,17 @@ def test_near_duplicates(docs):
     assert oddsketch.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_pairs_at_the_threshold_are_all_found(spark):
+    """Pairs that share 78 of 104 words, the least that counts as near, and 152 of 200 or 153 of 203, a little more."""
+    texts = []
+    for k in range(6000):
+        both, own = ((78, 13), (152, 24), (153, 25))[k % 3]
+        w = [f"w{k}x{i}" for i in range(both + 2 * own)]
+        texts += [(2 * k, " ".join(w[: both + own])), (2 * k + 1, " ".join(w[:both] + w[both + own :]))]
+    got = oddsketch.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), width=1)
+    assert [r for r in got.collect() if r.component_id != r.doc_id // 2 * 2] == []
+
+
 def test_ledger(docs):
     def measure(text):
         w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
