@@ -8,6 +8,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate, repeat
 from operator import getitem
 
 import numpy as np
@@ -16,6 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.llm.oddsketch import mix
 from geoloom.llm.store import ship_by_value, small_batches
 
 ship_by_value(__name__)
@@ -128,26 +130,43 @@ def merge_long(rank: dict[str, int], chunk: str, by_rank: list[int], by_place: l
     return [x for x in part if x is not None]
 
 
+class Drops:
+    """Stands for the keyed words of one occurrence: of its candidate merges, in the order they come up, those numbered ``at`` are dropped."""
+
+    def __init__(self, at: tuple[int, ...]):
+        self.at, self.seen = at, 0
+
+    def __getitem__(self, _: int) -> int:
+        self.seen += 1
+        return 0 if self.seen - 1 in self.at else 1
+
+
+class Coins:
+    """Stands for the keyed words of an occurrence of a long chunk: its candidate ``first`` is the first to drop, later ones are drawn as they come up."""
+
+    def __init__(self, key: int, first: int, dropout: float):
+        self.draw, self.left, self.dropout = random.Random(key).random, first, dropout
+
+    def __getitem__(self, _: int) -> int:
+        self.left -= 1
+        return 1 if self.left >= 0 else 0 if self.left == -1 or self.draw() < self.dropout else 1
+
+
 class Memory(dict):
-    """Packed piece ids of the chunks seen under one key; a new chunk is cut on the way.
+    """What became of a chunk with the candidate merges of some numbers dropped: how many came up in all, and the packed piece ids.
 
-    Candidate merges wait in an agenda by score, then from the left. One that comes up is
-    dropped when the keyed hash of its piece and place (two table words, joined by XOR) is
-    below the limit; a later merge beside it may propose the place anew.
+    The key is ``(chunk, numbers)``, or the chunk alone where none is dropped; a new one is cut on the way.
+    Candidate merges wait in an agenda by score, then from the left; a later merge beside a
+    dropped one may propose the place anew. What is remembered decides no draw.
     """
 
-    def __init__(self, p: Pieces, key: str, limit: int, size: int):
-        self.p, self.key, self.limit, self.size = p, key, limit, size
-        self.by_rank = keyed_words(f"{key} rank", max(p.rank.values(), default=0) + 1)
-        self.by_place = keyed_words(f"{key} place", SHORT)
+    def __init__(self, p: Pieces, size: int = 500_000):
+        self.p, self.size = p, size
 
-    def cut(self, chunk: str) -> list[int]:
+    def cut(self, chunk: str, drops: Drops | Coins) -> list[int]:
         p, out = self.p, []
-        if len(chunk) <= SHORT:
-            parts = merge_short(p.rank, chunk, self.by_rank, self.by_place, self.limit)
-        else:
-            parts = merge_long(p.rank, chunk, self.by_rank, keyed_words(f"{self.key} place", len(chunk)), self.limit)
-        for x in parts:
+        merge = merge_short if len(chunk) <= SHORT else merge_long
+        for x in merge(p.rank, chunk, drops, bytes(len(chunk)), 1):
             at = p.ids.get(x)
             if at is None:
                 out += [p.byte[b] for b in x.encode("utf-8", "surrogatepass")]
@@ -155,50 +174,85 @@ class Memory(dict):
                 out.append(at)
         return out
 
-    def __missing__(self, chunk: str) -> bytes:
-        got = array("i", self.cut(chunk)).tobytes()
+    def __missing__(self, key) -> tuple[int, bytes]:
+        chunk, at = (key, ()) if isinstance(key, str) else key
+        drops = Drops(at if len(at) < 8 else frozenset(at))
+        ids = array("i", self.cut(chunk, drops)).tobytes()
         if len(chunk) <= SHORT:
             if len(self) >= self.size:
                 self.clear()
-            self[chunk] = got
-        return got
+            self[key] = drops.seen, ids
+        return drops.seen, ids
+
+
+GOLDEN = 0x9E3779B97F4A7C15
+FAR = 1 << 40
 
 
-def memories(p: Pieces, seed: int, dropout: float, variants: int) -> list[Memory]:
-    return [Memory(p, f"{seed} {k}", int(dropout * (1 << 32)), 800_000 // variants) for k in range(variants)]
+def waits(keys: np.ndarray, dropout: float) -> np.ndarray:
+    """How many candidates are spared before the next drop: independent draws of probability ``dropout``, from keys."""
+    if dropout <= 0:
+        return np.full(len(keys), FAR)
+    if dropout >= 1:
+        return np.zeros(len(keys), np.int64)
+    u = ((mix(keys) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+    return np.floor(np.log(u) / np.log1p(-dropout)).astype(np.int64)
 
 
-def encode_text(p: Pieces, text: str, start: int, tables: list[Memory], find) -> bytes:
-    """Piece ids of a text, packed; its chunks take the ``tables`` in an order drawn from ``start``."""
+def pieces_of(chunk: str, key: int, first: int, second: int, dropout: float, memory: Memory) -> bytes:
+    """Piece ids of an occurrence whose candidate ``first`` is dropped, and the one ``second`` places after the next if it comes up."""
+    if len(chunk) > SHORT:
+        return array("i", memory.cut(chunk, Coins(key, first, dropout))).tobytes()
+    at, wait, k = (first,), second, 1
+    while True:
+        seen, ids = memory[chunk, at]
+        drop = at[-1] + 1 + wait
+        if drop >= seen:
+            return ids
+        at, k = (*at, drop), k + 1
+        wait = int(waits(np.array([key + k * GOLDEN & ALL], np.uint64), dropout)[0])
+
+
+def encode_text(p: Pieces, text: str, start: int, dropout: float, memory: Memory, find) -> bytes:
+    """Piece ids of a text, packed; each occurrence of a chunk draws anew, keyed by ``start`` and its place."""
     if not text:
         return b""
     mark = array("i", [p.byte[b] for b in MARK.encode()]).tobytes()
-    draw = random.Random(start)
-    return mark.join(
-        b"".join(map(getitem, draw.choices(tables, k=len(chunks)), chunks))
-        for chunks in (find(x.replace(" ", MARK)) for x in (" " + text).split(MARK))
-    )
-
-
-def encode(docs: DataFrame, pieces: Pieces, seed: int = 1, dropout: float = 0.1, variants: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    parts = [find(x.replace(" ", MARK)) for x in (" " + text).split(MARK)]
+    chunks = [c for x in parts for c in x]
+    if not chunks:
+        return mark.join([b""] * len(parts))
+    seen, ids = map(list, zip(*map(getitem, repeat(memory), chunks), strict=True))
+    keys = mix(np.arange(1, len(chunks) + 1, dtype=np.uint64) * np.uint64(GOLDEN) + np.uint64(start))
+    first = waits(keys, dropout)
+    hit = np.flatnonzero(first < np.array(seen))
+    again = waits(keys[hit] + np.uint64(GOLDEN), dropout)
+    for i, key, one, two in zip(hit.tolist(), keys[hit].tolist(), first[hit].tolist(), again.tolist(), strict=True):
+        ids[i] = pieces_of(chunks[i], key, one, two, dropout, memory)
+    ends = [0, *accumulate(map(len, parts))]
+    return mark.join(b"".join(ids[a:z]) for a, z in zip(ends, ends[1:], strict=False))
+
+
+def encode(docs: DataFrame, pieces: Pieces, seed: int = 1, dropout: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text, ids)`` for every row of ``docs``.
 
-    A merge is skipped with probability ``dropout`` by a hash keyed with the seed, so a text
-    has the same pieces in every run; another seed gives other ones. Each occurrence of a
-    word takes one of ``variants`` keys, by document and place, so that a task can remember
-    what it has cut already. Without dropout the pieces are those of the model itself. Every
+    A merge is skipped with probability ``dropout`` by a hash keyed with the seed, the
+    document and the place of its chunk, so a text
+    has the same pieces in every run; another seed gives other ones, and each occurrence of a
+    word draws anew. A task remembers what a word becomes without drops and with those of some
+    candidates. Without dropout the pieces are those of the model itself. Every
     text is encoded to its end; the sign that marks blanks in pieces is spelled in bytes where a text has it.
     Null texts have null ids, empty ones none; a null id counts as zero. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = memories(pieces, seed, dropout, variants)
+        memory = Memory(pieces)
         find = re.compile(pieces.cut).findall
         for b in batches:
             rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
             out = [
-                encode_text(pieces, text or "", scramble((doc or 0) * 0x9E3779B97F4A7C15 + seed & ALL), tables, find)
+                encode_text(pieces, text or "", scramble((doc or 0) * GOLDEN + seed & ALL), dropout, memory, find)
                 for doc, text in rows
             ]
             ends = np.cumsum([0, *map(len, out)]) // 4

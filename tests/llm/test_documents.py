@@ -207,6 +207,28 @@ def test_both_agendas_cut_alike(pieces):
             assert limit != 0 or "".join(merge_dropout.merge_short(*args)) == chunk
 
 
+def test_each_occurrence_draws_its_own_merges(spark, pieces):
+    """As many cuts of one word as there are, each as often as its drops say, and the same in every run."""
+    n, word = 20_000, " international"
+    table = spark.createDataFrame([(1, word * n)], "doc_id long, text string")
+    plain = merge_dropout.encode(spark.createDataFrame([(1, word * 2)], table.schema), pieces, dropout=0).head().ids
+    plain = plain[-(len(plain) // 2) :]
+    row, again = (merge_dropout.encode(table, pieces, dropout=0.1).head() for _ in range(2))
+    assert row.ids == again.ids
+    cuts, cut = Counter(), []
+    for i in row.ids:
+        if pieces.raw[i].startswith(b" ") and cut:
+            cuts[tuple(cut)] += 1
+            cut = []
+        cut.append(i)
+    cuts[tuple(cut)] += 1
+    assert len(cuts) > 30 and min(cuts.values()) < n // 100
+    drops = merge_dropout.Drops(())
+    merge_dropout.merge_short(pieces.rank, word.replace(" ", merge_dropout.MARK), drops, bytes(len(word)), 1)
+    spared = 0.9**drops.seen
+    assert spared * n - 5 * math.sqrt(n) < cuts[tuple(plain)]
+
+
 def test_scores(docs):
     rows = docs.select("doc_id", "text").collect()
     held = [zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 5 == 1 for r in rows]
