@@ -18,6 +18,7 @@ from geoloom.llm.pitman_yor import score_texts
 from geoloom.llm.store import LOWER, UPPER
 from geoloom.llm.urlrules import judge_urls
 from geoloom.llm.warc import read_archive, write_archive
+from geoloom.llm.whitening import whiten
 from geoloom.session import work_folder
 from geoloom.tables import table
 
@@ -153,3 +154,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_lm_score")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return score_texts(table(spark, folder, "documents"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings"))
