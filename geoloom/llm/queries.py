@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.llm.bestpos import rank_documents
 from geoloom.llm.covertree import near_vectors
 from geoloom.llm.ledger import ledger, passes
 from geoloom.llm.licenses import scan_licenses
@@ -159,3 +160,23 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_embedding_whitening")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return whiten(table(spark, folder, "embeddings"))
+
+
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".replace("{UPPER}", UPPER).replace("{LOWER}", LOWER)
+SEARCH_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS l FROM documents),
+n AS (SELECT r, doc_id, len(l) AS n FROM d WHERE len(l) > 0),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+q AS (SELECT DISTINCT item_id, unnest({TERMS}) AS t FROM benchmark),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(l) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+w AS (SELECT t, floor(1000 * ln((2e0 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY t, docs),
+x AS (SELECT item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms)))) AS score
+  FROM q JOIN p USING (t) JOIN w USING (t) JOIN n USING (r), s GROUP BY item_id, doc_id, r),
+k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score::BIGINT AS score FROM k WHERE rank <= 10
+"""
+
+
+@query("op12_ranked_search", SEARCH_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
