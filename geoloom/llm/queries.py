@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm.bestpos import rank_documents
+from geoloom.llm.columnbwt import drop_repeats
 from geoloom.llm.covertree import near_vectors
 from geoloom.llm.ledger import ledger, passes
 from geoloom.llm.licenses import scan_licenses
@@ -162,6 +163,11 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     return whiten(table(spark, folder, "embeddings"))
 
 
+@query("op11_repeated_passages")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return drop_repeats(table(spark, folder, "documents"))
+
+
 TERMS = r"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".replace("{UPPER}", UPPER).replace("{LOWER}", LOWER)
 SEARCH_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS l FROM documents),
