@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from geoloom.llm.components import connected
-from geoloom.llm.store import if_small, ship_by_value, small_batches, staged
+from geoloom.llm.store import batches_of, if_small, ship_by_value, staged
 
 ship_by_value(__name__)
 
@@ -98,8 +98,22 @@ def folder(width: int, bands: int, rows: int, bins: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         for b in batches:
-            got = list(zip(*map(one, b.column(1).to_pylist()), strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(got, kinds, strict=True))], names=["doc_id", "n_shingles", "digest", "n_samples", "sketch", "bands"])
+            got = list(zip(*map(one, b.column(2).to_pylist()), strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(got, kinds, strict=True))], names=["doc_id", "tag", "n_shingles", "digest", "n_samples", "sketch", "bands"])
+
+    return run
+
+
+def lister(width: int, most: int):
+    """A task that gives 32 bits of each shingle's hash, for sets of at most ``most``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            short = []
+            for text in b.column(2).to_pylist():
+                got = shingle_hashes(text, width)
+                short.append(np.unique(got.astype(np.uint32)).view(np.int32) if len(got) <= most else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(short, pa.list_(pa.int32()))], names=["node", "tag", "short"])
 
     return run
 
@@ -108,13 +122,13 @@ def confirmer(width: int, percent: int, remembered: int = 1 << 21):
     """A task that keeps the pairs whose full sets are similar enough. Sets are remembered up to a number of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[int, np.ndarray] = {}
+        sets: dict[tuple[int, int], np.ndarray] = {}
         held = 0
         for b in batches:
             keep = []
-            for *ids, left, right in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for a, ta, c, tc, left, right in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 pair = []
-                for name, text in zip(ids, (left, right), strict=True):
+                for name, text in (((a, ta), left), ((c, tc), right)):
                     if name not in sets:
                         if held > remembered:
                             sets, held = {}, 0
@@ -124,7 +138,7 @@ def confirmer(width: int, percent: int, remembered: int = 1 << 21):
                 mine, other = pair
                 both = len(np.intersect1d(mine, other, assume_unique=True))
                 keep.append(100 * both >= percent * (len(mine) + len(other) - both))
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield b.select([0, 2]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -155,83 +169,111 @@ def looks_close(x: str, y: str, percent: int, bins: int, bits: int, miss_sd: flo
     return sizes & (match + F.sqrt(spread) * miss_sd + skew >= filled * j)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, bands: int = 48, rows: int = 5, bins: int = 2048, bits: int = 4096, miss_sd: float = 5.0, tries: int = 4, block: int = 2048, small_ids: int = 2_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, bands: int = 48, rows: int = 5, bins: int = 2048, bits: int = 4096, miss_sd: float = 5.0, tries: int = 4, block: int = 2048, short: int = 1024, share: int = 64, small_ids: int = 2_000_000) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``.
 
-    Documents with equal shingle sets form a class and only its smallest id goes on. Classes
+    Documents with equal shingle sets form a class and only one of the smallest id goes on. Classes
     that share a band key are candidates; at the threshold all ``bands`` miss with
     probability ``(1 - (percent/100)**rows)**bands`` (2e-6 as set). Round one compares each
     class with the smallest members of its buckets, the ``tries`` that it meets most often, and
-    confirms the best such pair on the full sets. Round two looks at buckets whose members are in more than one component
-    and confirms every pair across components that the odd sketches leave open. Pairs within
-    a component need no look, so a group of near copies costs a few pairs per member.
-    Buckets above ``block`` members are compared in parts, spread over tasks.
+    confirms the best such pair on the full sets. Round two looks at buckets whose members are in more than one component:
+    pairs across components that the odd sketches leave open are counted out on 32 bits of each
+    hash where both sets have at most ``short`` shingles, which loses no pair and leaves few
+    that are not near; the others and what is left are confirmed. So a group of many texts a little below the threshold gives no rows.
+    Pairs within a component need no look, so a group of near copies costs a few pairs per member.
+    Buckets above ``block`` members are compared in parts, and pairs of one document above ``share``, spread over tasks.
     Confirmation compares sets of 64-bit hashes of the shingles.
 
     Null and empty texts have no shingles and are linked with nothing. A row without an id
     takes the component of its class and is linked with nothing else (null if no row of the
-    class has an id, and then kept). Rows with the same id are one document. Other columns
+    class has an id, and then kept). Rows with the same id are one document, linked with all that any of its texts is near to. Other columns
     are ignored.
     """
+    with batches_of(docs.sparkSession, 256):
+        return _near_duplicates(docs, id_col, text_col, width, percent, bands, rows, bins, bits, miss_sd, tries, block, short, share, small_ids)
+
+
+def _near_duplicates(docs, id_col, text_col, width, percent, bands, rows, bins, bits, miss_sd, tries, block, short, share, small_ids):
     spark = docs.sparkSession
-    small_batches(spark)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
     made = staged(
-        own.mapInArrow(folder(width, bands, rows, bins, bits), "doc_id long, n_shingles long, digest binary, n_samples long, sketch array<long>, bands array<long>"),
+        own.select("doc_id", "tag", "text").mapInArrow(folder(width, bands, rows, bins, bits), "doc_id long, tag long, n_shingles long, digest binary, n_samples long, sketch array<long>, bands array<long>"),
         "features",
     )
+    named = F.min(F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("node"), "tag"))).alias("name")
     classes = staged(
-        made.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n_shingles", "n_samples", "sketch", "bands"))),
+        made.where("digest is not null").groupBy("digest").agg(named, *(F.first(c).alias(c) for c in ("n_shingles", "n_samples", "sketch", "bands"))).select("digest", "name.node", "name.tag", "n_shingles", "n_samples", "sketch", "bands"),
         "classes",
     )
     nodes = classes.where("node is not null")
-    sketches = nodes.select("node", "n_shingles", "n_samples", "sketch")
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = staged(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1"), "shared")
+    sketches = nodes.select("node", "tag", "n_shingles", "n_samples", "sketch")
+    keyed = nodes.select("node", "tag", F.explode("bands").alias("key"))
+    shared = staged(keyed.groupBy("key").agg(F.min(F.struct("node", "tag")).alias("hub"), F.count("*").alias("size")).where("size > 1"), "shared")
     members = staged(keyed.join(shared, "key"), "members")
+    # few bytes but much work: as many tasks as shuffles have
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def sketch_of(name: str) -> DataFrame:
-        return sketches.select(F.col("node").alias(name), F.struct("n_shingles", "n_samples", "sketch").alias(f"{name}_s"))
+        return sketches.select(F.col("node").alias(name), F.col("tag").alias(f"t{name}"), F.struct("n_shingles", "n_samples", "sketch").alias(f"{name}_s"))
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """``(node, tag, text)`` of some documents."""
+        ids = ids.select(F.col("node").alias("doc_id"), "tag")
+        found = own.join(if_small(ids, small_ids), ["doc_id", "tag"], "left_semi").groupBy("doc_id", "tag").agg(F.first("text").alias("text"))
+        return found.withColumnRenamed("doc_id", "node")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs ``(a, b)`` whose whole texts are similar enough."""
-        ids = staged(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-        text = staged(own.join(if_small(ids, small_ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
-        side = [text.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab"]
-        # few bytes but much work: as many tasks as shuffles have
-        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        return pairs.join(side[1], "b").repartition(tasks, "a").join(side[0], "a").select("a", "b", "text_a", "text_b").mapInArrow(confirmer(width, percent), "a long, b long")
+        ids = pairs.select(F.col("a").alias("node"), F.col("ta").alias("tag")).union(pairs.select("b", "tb")).distinct()
+        text = staged(texts_of(staged(ids, "ids")), "texts")
+        side = [text.select(F.col("node").alias(x), F.col("tag").alias(f"t{x}"), F.col("text").alias(f"text_{x}")) for x in "ab"]
+        # the pairs of a hub are dealt over parts, each with a copy of its text
+        hubs = pairs.groupBy("a", "ta").count().where(F.col("count") > share).select("a", "ta", F.ceil(F.col("count") / share).alias("parts"))
+        part = F.pmod(F.xxhash64("b", "tb"), F.coalesce("parts", F.lit(1)))
+        dealt = staged(pairs.join(hubs, ["a", "ta"], "left").select("a", "ta", "b", "tb", part.alias("part")), "dealt")
+        copies = dealt.select("a", "ta", "part").distinct().join(side[0], ["a", "ta"])
+        both = dealt.join(side[1], ["b", "tb"]).repartition(tasks, "a", "ta", "part").join(copies, ["a", "ta", "part"])
+        return both.select("a", "ta", "b", "tb", "text_a", "text_b").mapInArrow(confirmer(width, percent), "a long, b long")
 
     # of the buckets' smallest members, those that a class meets in most bands
-    often = members.where("node <> hub").groupBy("node", "hub").count()
-    rank = F.row_number().over(W.partitionBy("node").orderBy(F.desc("count"), "hub"))
-    stars = often.withColumn("r", rank).where(F.col("r") <= tries).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    stars = stars.join(sketch_of("a"), "a").join(sketch_of("b"), "b").where(looks_close("a_s", "b_s", percent, bins, bits, miss_sd))
+    often = members.where("node <> hub.node").groupBy("node", "tag", "hub").count()
+    rank = F.row_number().over(W.partitionBy("node", "tag").orderBy(F.desc("count"), "hub"))
+    stars = often.withColumn("r", rank).where(F.col("r") <= tries).select(F.col("hub.node").alias("a"), F.col("hub.tag").alias("ta"), F.col("node").alias("b"), F.col("tag").alias("tb"))
+    stars = stars.join(sketch_of("a"), ["a", "ta"]).join(sketch_of("b"), ["b", "tb"]).where(looks_close("a_s", "b_s", percent, bins, bits, miss_sd))
     apart = F.bit_count(F.col("a_s.sketch")[0].bitwiseXOR(F.col("b_s.sketch")[0]))
     for i in range(1, bits // 64):
         apart = apart + F.bit_count(F.col("a_s.sketch")[i].bitwiseXOR(F.col("b_s.sketch")[i]))
-    best = staged(stars.groupBy("b").agg(F.min_by("a", apart).alias("a")).select("a", "b"), "best")
+    best = staged(stars.groupBy("b", "tb").agg(F.min_by(F.struct("a", "ta"), apart).alias("x")).select("x.a", "x.ta", "b", "tb"), "best")
     links = staged(confirmed(best), "links")
     first = staged(connected(links), "first")
 
-    placed = members.join(first.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("comp"))
+    placed = members.join(first.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "tag", "size", F.coalesce("component", "node").alias("comp"))
     placed = staged(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    open_rows = staged(placed.join(mixed, "key").join(nodes.select("node", F.struct("n_shingles", "n_samples", "sketch", "bands").alias("s")), "node"), "open")
+    left_open = staged(placed.join(mixed, "key"), "unsettled")
+    lists = staged(texts_of(staged(left_open.select("node", "tag").distinct(), "ids")).mapInArrow(lister(width, short), "node long, tag long, short array<int>"), "short")
+    known = nodes.join(lists, ["node", "tag"]).select("node", "tag", F.struct("n_shingles", "n_samples", "sketch", "bands", "short").alias("s"))
+    open_rows = staged(left_open.join(known, ["node", "tag"]), "open")
     parts = F.ceil(F.col("size") / block).cast("int")
-    left = open_rows.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).alias("x")
+    left = open_rows.withColumn("part", F.pmod(F.xxhash64("node", "tag"), parts).cast("int")).alias("x")
     right = open_rows.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("y")
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
     # a pair that shares several buckets is given in the one of the smallest key
     once = F.array_min(F.array_intersect("x.s.bands", "y.s.bands")) == F.col("x.key")
-    cross = left.join(right, meet & looks_close("x.s", "y.s", percent, bins, bits, miss_sd) & once).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    # elements that share 32 bits with another of their set may stand behind one common number
+    hidden = F.least(*(F.col(f"{x}.s.n_shingles") - F.size(f"{x}.s.short") for x in "xy"))
+    common = F.size(F.array_intersect("x.s.short", "y.s.short")) + hidden
+    counted = F.lit(100) * common >= (F.col("x.s.n_shingles") + F.col("y.s.n_shingles") - common) * percent
+    possible = F.col("x.s.short").isNull() | F.col("y.s.short").isNull() | counted
+    cross = left.join(right, meet & looks_close("x.s", "y.s", percent, bins, bits, miss_sd) & once & possible)
+    cross = cross.select(F.col("x.node").alias("a"), F.col("x.tag").alias("ta"), F.col("y.node").alias("b"), F.col("y.tag").alias("tb"))
     more = staged(confirmed(staged(cross, "cross")), "links")
     found = connected(links.union(more)).withColumnRenamed("id", "node")
 
-    named = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    component = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     return (
         made.select("doc_id", "n_shingles", "digest")
-        .join(named, "digest", "left")
+        .join(component, "digest", "left")
         .select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )

@@ -67,6 +67,41 @@ def test_near_duplicates(docs):
     assert oddsketch.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, one), (1, two), (2, two + " more"), (3, one + " end"), (4, "alone here"), (2, None)]
+    got = oddsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(1, 1), (1, 1), (2, 1), (2, 2), (3, 1), (4, 4)]
+
+
+def test_a_crowd_around_the_threshold(spark):
+    """Texts of one base, each with changes of its own: some pairs are near, most a little too far; hubs and buckets in parts."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(240):
+        w = list(base)
+        for at in rng.sample(range(0, 150, 5), rng.randint(3, 6)):
+            w[at] = f"n{i}x{at}"
+        texts.append((i, " ".join(w)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(146)} for i, t in texts}
+    root = {i: i for i in sets}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a, b in combinations(sets, 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for options in ({}, {"block": 50, "share": 5}, {"short": 0, "small_ids": 0}):
+        got = {r.doc_id: r.component_id for r in oddsketch.near_duplicates(df, **options).collect()}
+        assert got == {i: find(i) for i in sets} and 1 < len(set(got.values())) < 240
+
+
 def test_pairs_at_the_threshold_are_all_found(spark):
     """Pairs that share 78 of 104 words, the least that counts as near, and 152 of 200 or 153 of 203, a little more."""
     texts = []
