@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import sys
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from geoloom.functions.geodesy import WGS84_AXIS, bearing, distance_km
+from geoloom.operators.merging import merge_snapshots
+from geoloom.session import cut_lineage
+from geoloom.sources.snapshot import from_documents, pointer, read_snapshot, write_snapshot
+
+# workers need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LEGS = "session bigint, ts timestamp, lat double, lng double, prev_lat double, prev_lng double"
 LAST = "ts timestamp, lat double, lng double"
@@ -53,6 +63,87 @@ def stream_track_legs(fixes: DataFrame, lateness: str = "10 minutes", axis: floa
     )
 
 
+class LegsInOrder(StatefulProcessor):
+    """Holds back the fixes of a session until the watermark has passed them, then pairs them in order.
+
+    The state is the fixes within the lateness and the last fix paired; a timer at the oldest fix
+    held wakes it, and one after ``idle_ms`` of silence clears it. A fix that comes later than
+    that after the one before starts a new track, whether or not the state was cleared.
+    """
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "micros long, event_id long, lat double, lng double")
+        self.last = handle.getValueState("last", "micros long, lat double, lng double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        oldest = None
+        for part in rows:
+            self.held.appendList([(int(r.micros), int(r.event_id), float(r.lat), float(r.lng)) for r in part.itertuples()])
+            first = int(part["micros"].min())
+            oldest = first if oldest is None else min(first, oldest)
+        if oldest is not None:
+            self.handle.registerTimer(self.wake(oldest, timerValues))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(tuple(r) for r in self.held.get())
+        due, wait = [r for r in held if r[0] <= passed], [r for r in held if r[0] > passed]
+        last = tuple(self.last.get()) if self.last.exists() else None
+        out = []
+        for micros, _, lat, lng in due:
+            near = last is not None and micros - last[0] <= self.idle_ms * 1000
+            out.append((key[0], micros, lat, lng, last[1] if near else None, last[2] if near else None))
+            last = (micros, lat, lng)
+        if due:
+            self.last.update(last)
+            self.held.put(wait) if wait else self.held.clear()
+        if wait:
+            self.handle.registerTimer(self.wake(wait[0][0], timerValues))
+        elif last is not None:
+            end = last[0] + self.idle_ms * 1000
+            if end <= passed:
+                self.last.clear()
+            else:
+                self.handle.registerTimer(self.wake(end, timerValues))
+        if out:
+            frame = pd.DataFrame(out, columns=["session", "micros", "lat", "lng", "prev_lat", "prev_lng"])
+            yield frame.astype({"prev_lat": "float64", "prev_lng": "float64"})
+
+    def wake(self, micros: int, timer_values) -> int:
+        return max(-(-micros // 1000), timer_values.getCurrentWatermarkInMs() + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_legs_in_order(fixes: DataFrame, lateness: str = "10 minutes", idle_ms: int = 30 * 24 * 3600 * 1000, axis: float = WGS84_AXIS) -> DataFrame:
+    """Legs of GPS fixes (session, event_id, ts, lat, lng) in the order of their times.
+
+    However fixes are dealt over batches, and in whatever order they arrive within the
+    lateness, the legs are the same; each is given once, when the watermark has passed its fix. Fixes later than that
+    are dropped. Needs the RocksDB state store (:func:`rocksdb_state`).
+    """
+    src = fixes.select("session", "event_id", F.col("ts").cast("timestamp").alias("ts"), "lat", "lng").withColumn("micros", F.unix_micros("ts"))
+    paired = src.withWatermark("ts", lateness).groupBy("session").transformWithStateInPandas(
+        LegsInOrder(idle_ms), "session bigint, micros bigint, lat double, lng double, prev_lat double, prev_lng double", "append", "EventTime"
+    )
+    return paired.select(
+        "session", F.timestamp_micros("micros").alias("ts"), "lat", "lng",
+        distance_km("prev_lat", "prev_lng", "lat", "lng", axis).alias("leg_km"),
+        bearing("prev_lat", "prev_lng", "lat", "lng").alias("leg_bearing"),
+    )
+
+
+def rocksdb_state(spark) -> None:
+    """Set the state store that keyed list and value states need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def stream_hit_counts(hits: DataFrame, window: str = "1 hour", lateness: str = "10 minutes", ts: str = "ts", source: str = "source") -> DataFrame:
     """Tile hits per source and time window; a new window is the counter's reset."""
     w = hits.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", lateness)
@@ -73,3 +164,25 @@ def stream_merge_snapshots(parts: DataFrame, merge: Callable[[DataFrame, int], N
     the rows of a batch and its number; it must be safe to repeat a batch, which
     writing a version named by the batch number gives."""
     return parts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+
+def stream_into_snapshot(parts: DataFrame, root: str, checkpoint: str):
+    """Merge nested place documents into the five-table snapshot under ``root`` as they arrive.
+
+    Each batch is one version of the store, and its number goes into the pointer with it: both
+    become current in the same rename. A batch that is repeated, after a
+    failure at any moment, is skipped if its number is there and written anew if not.
+    """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        state = pointer(spark, root) or {}
+        done = state.get("batches", {})
+        if done.get(stream, -1) >= number:
+            return
+        incoming = from_documents(cut_lineage(batch))
+        held = read_snapshot(spark, root) if state else type(incoming)(*(df.limit(0) for df in vars(incoming).values()))
+        write_snapshot(merge_snapshots(held, incoming), root, f"{stream}-{number:09d}", batches={**done, stream: number})
+
+    return stream_merge_snapshots(parts, merge, checkpoint)

@@ -115,6 +115,58 @@ def test_snapshot_round_trip_and_backup(spark):
         snapshot.read_snapshot(spark, root)
 
 
+def test_damaged_snapshots_are_named(spark):
+    root = work_folder(spark, "snapshot")
+    with pytest.raises(FileNotFoundError):
+        snapshot.read_tables(spark, root)
+    one = {"places": spark.range(50).withColumnRenamed("id", "place_id"), "refs": spark.range(9).withColumnRenamed("id", "place_id")}
+    two = {"places": spark.range(70).withColumnRenamed("id", "place_id"), "refs": spark.range(0).withColumnRenamed("id", "place_id")}
+    first = snapshot.write_tables(one, root, note="a")
+    second = snapshot.write_tables(two, root, version="named")
+    with pytest.raises(ValueError):
+        snapshot.write_tables(two, root, version="named")
+    state = snapshot.pointer(spark, root)
+    assert (state["current"], state["backup"], state["note"]) == (second, first, "a")
+
+    def count(deep=False):
+        return {t: df.count() for t, df in snapshot.read_tables(spark, root, deep).items()}
+
+    assert count() == count(True) == {"places": 70, "refs": 0}
+    file = spark.read.json(f"{root}/named/manifest").filter("file LIKE 'places%'").first()
+    fs, path, hadoop = snapshot._fs(spark, f"{root}/named/{file.file}")
+
+    def rewrite(size):
+        out = fs.create(path, True)
+        out.write(bytearray(size))
+        out.close()
+
+    def problems(deep):
+        return [tuple(r) for r in snapshot.damaged_files(spark, root, "named", deep).collect()]
+
+    rewrite(file.bytes)  # the same size: seen by checksums only
+    assert problems(False) == [] and problems(True) == [(file.file, "other content")] and count(True) == {"places": 50, "refs": 9}
+    rewrite(5)
+    assert problems(False) == [(file.file, "other size")] and count() == {"places": 50, "refs": 9}
+    fs.delete(path, False)
+    assert problems(False) == [(file.file, "missing")] and count() == {"places": 50, "refs": 9}
+    fs.delete(hadoop.Path(f"{root}/{first}"), True)
+    with pytest.raises(snapshot.DamagedSnapshotError, match="manifest"):
+        snapshot.read_tables(spark, root)
+
+
+def test_other_errors_are_not_taken_for_damage(spark, monkeypatch):
+    root = work_folder(spark, "snapshot")
+    for n in (3, 4):
+        snapshot.write_tables({"places": spark.range(n)}, root)
+
+    def lost(*_):
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(snapshot, "_listed", lost)
+    with pytest.raises(RuntimeError, match="executor lost"):
+        snapshot.read_tables(spark, root)
+
+
 def test_snapshot_json(spark):
     root = work_folder(spark, "json")
     rows = spark.createDataFrame([(1, "A")], "place_id bigint, name string")
