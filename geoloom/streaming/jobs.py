@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import sys
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -14,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from geoloom.functions.geodesy import WGS84_AXIS, bearing, distance_km
-from geoloom.operators.merging import merge_snapshots
+from geoloom.operators.merging import merge_aliases, merge_snapshots
 from geoloom.session import cut_lineage
 from geoloom.sources.snapshot import from_documents, pointer, read_snapshot, write_snapshot
 
@@ -183,6 +184,10 @@ def stream_into_snapshot(parts: DataFrame, root: str, checkpoint: str):
             return
         incoming = from_documents(cut_lineage(batch))
         held = read_snapshot(spark, root) if state else type(incoming)(*(df.limit(0) for df in vars(incoming).values()))
-        write_snapshot(merge_snapshots(held, incoming), root, f"{stream}-{number:09d}", batches={**done, stream: number})
+        merged = merge_snapshots(held, incoming)
+        # names stand among the aliases as the next merge would have them, so the number of batches leaves no trace
+        names = merged.places.select("place_id", F.lit(1_000_000).alias("seq"), F.col("name").alias("alias"))
+        merged = replace(merged, aliases=merge_aliases(merged.aliases.unionByName(names), incoming.aliases.limit(0)))
+        write_snapshot(merged, root, f"{stream}-{number:09d}", batches={**done, stream: number})
 
     return stream_merge_snapshots(parts, merge, checkpoint)
