@@ -9,6 +9,7 @@ from geoloom.catalog import sql as S
 from geoloom.catalog.places import CLASS_SQL, part
 from geoloom.functions import rings as G
 from geoloom.registry import query
+from geoloom.session import work_folder
 from geoloom.sources import geojson, gpx, osm
 from geoloom.tables import table
 
@@ -208,3 +209,24 @@ def read_gpx(spark, d):
     return p.groupBy("name").agg(
         F.count(F.lit(1)).alias("points"), F.round(F.sum("lat").cast("double"), 4).alias("lat_sum"), F.round(F.sum("lng").cast("double"), 4).alias("lng_sum")
     )
+
+
+@query(
+    "write_read_gpx_files",
+    f"""WITH p AS ({P.sql_points('events', 'event_id', extra='event_id, user_id, ts')})
+SELECT CAST(user_id AS VARCHAR) AS name, ts, round(lat, 6) AS lat, round(lng, 6) AS lng, event_id % 5000 / 1e1 AS ele, event_id % 70 / 1e0 AS geoidheight, CASE event_id % 3 WHEN 0 THEN '3d' WHEN 1 THEN '2d' END AS fix,
+ CAST(event_id % 12 AS VARCHAR) AS sat, CASE WHEN event_id % 4 <> 0 THEN event_id % 90 / 1e1 END AS hdop, event_id % 80 / 1e1 AS vdop, event_id % 60 / 1e1 AS pdop FROM p""",
+)
+def write_read_gpx_files(spark, d):
+    """Every field of a fix through written files; absent ones stay absent."""
+    k = F.col("event_id")
+    tenths = lambda n: (k % n).cast("decimal(18,10)") / 10
+    fixes = P.event_points(spark, d).withColumns(
+        {"ele": tenths(5000), "geoidheight": (k % 70).cast("decimal(18,10)"), "fix": F.when(k % 3 == 0, "3d").when(k % 3 == 1, "2d"), "sat": (k % 12).cast("string"),
+         "hdop": F.when(k % 4 != 0, tenths(90)), "vdop": tenths(80), "pdop": tenths(60)}
+    )
+    path = work_folder(spark, "gpx")
+    gpx.write_gpx(fixes, path, "user_id", tie=("event_id",), optional=gpx.OPTIONAL)
+    back = gpx.read_gpx(spark, path)
+    number = [F.col(c).cast("double").alias(c) for c in ("ele", "geoidheight", "hdop", "vdop", "pdop")]
+    return back.select("name", F.col("ts").cast("timestamp_ntz").alias("ts"), *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("lat", "lng")], "fix", "sat", *number)

@@ -10,6 +10,7 @@ from geoloom.operators import summaries as Y
 from geoloom.operators import tile_store as T
 from geoloom.operators.tiling import with_tile
 from geoloom.registry import query
+from geoloom.session import work_folder
 from geoloom.tables import table
 
 ST = f"""WITH p AS ({P.sql_points('orders', 'o_orderkey', extra='o_orderkey AS id, o_custkey, o_orderdate')}),
@@ -119,3 +120,24 @@ def mbtiles_metadata(spark, d):
     names = F.array(*[F.lit(v) for v in ("name", "format", "bounds", "x", "y")])
     pairs = n.groupBy("n_regionkey", F.element_at(names, F.col("n_nationkey") % 5 + 1).alias("name")).agg(F.max("n_name").alias("value"))
     return T.mbtiles_metadata(pairs, ("name", "format", "bounds"), ["n_regionkey"])
+
+
+@query("write_read_tile_store", ST + " SELECT id, type, zoom + id % 3 AS zoom, x, y, cached_at, 'tile-' || id AS tile FROM s WHERE NOT coalesce(cached_at < TIMESTAMP '1995-01-01' AND type = 2, FALSE)")
+def write_read_tile_store(spark, d):
+    """A store in zoom folders, rewritten without its expired rows and read back."""
+    path, kept = work_folder(spark, "tiles"), work_folder(spark, "kept")
+    T.write_tile_store(store(spark, d).drop("bytes").withColumn("zoom", (F.col("zoom") + F.col("id") % 3).cast("int")), path)
+    T.rewrite_without_expired(spark, path, kept, F.to_timestamp_ntz(F.lit("1995-01-01 00:00:00")), 2)
+    back = T.read_tile_store(spark, kept)
+    return back.select("id", "type", "zoom", "x", "y", "cached_at", F.col("tile").cast("string").alias("tile"))
+
+
+@query("write_read_joined_store", ST + " SELECT id, type, zoom, x, y, CASE WHEN id % 11 <> 3 THEN 'tile-' || id END AS tile FROM s")
+def write_read_joined_store(spark, d):
+    """Headers and blobs in two tables, written in two appends; a header without a blob keeps none."""
+    path, blobs = work_folder(spark, "headers"), work_folder(spark, "blobs")
+    s = store(spark, d).withColumn("tile", F.when(F.col("id") % 11 != 3, F.col("tile")))
+    for part in (0, 1):
+        T.write_joined_store(s.filter(F.col("id") % 2 == part), path, blobs)
+    back = T.read_tile_store(spark, path, joined=True, tile_path=blobs)
+    return back.select("id", "type", "zoom", "x", "y", F.col("tile").cast("string").alias("tile"))

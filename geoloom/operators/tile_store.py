@@ -132,6 +132,14 @@ def write_tile_store(df: DataFrame, path: str, mode: str = "append", stamp: bool
     sorted_rows.write.mode(mode).partitionBy("zoom").parquet(path)
 
 
+def write_joined_store(df: DataFrame, path: str, tile_path: str, tile: str = "tile", mode: str = "append") -> None:
+    """Append tiles in two tables linked by id: headers, one folder per zoom, and the blobs
+    apart, so key lookups, counts and expiry never read a tile. Rows without a tile have a header only."""
+    write_tile_store(df.drop(tile), path, mode)
+    blobs = df.select("id", tile).filter(F.col(tile).isNotNull())
+    blobs.repartitionByRange("id").sortWithinPartitions("id").write.mode(mode).parquet(tile_path)
+
+
 def read_mbtiles(tiles: DataFrame, zoom: str = "zoom_level", column: str = "tile_column", row: str = "tile_row") -> DataFrame:
     """Tile pyramid rows with row numbers counted from the top."""
     size = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(zoom).cast("int"))

@@ -11,6 +11,7 @@ POINT = (
     "struct<_lat:decimal(18,10),_lon:decimal(18,10),time:timestamp,ele:decimal(18,10),geoidheight:decimal(18,10),"
     "fix:string,sat:string,hdop:decimal(18,10),vdop:decimal(18,10),pdop:decimal(18,10)>"
 )
+OPTIONAL = ("ele", "geoidheight", "fix", "sat", "hdop", "vdop", "pdop")
 TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
@@ -24,7 +25,7 @@ def read_gpx(spark: SparkSession, path: str) -> DataFrame:
     p = s.select("name", "segment", F.posexplode("s.trkpt").alias("seq", "p"))
     return p.select(
         "name", "segment", "seq", F.col("p._lat").alias("lat"), F.col("p._lon").alias("lng"), F.col("p.time").alias("ts"),
-        *[F.col(f"p.{c}").alias(c) for c in ("ele", "geoidheight", "fix", "sat", "hdop", "vdop", "pdop")],
+        *[F.col(f"p.{c}").alias(c) for c in OPTIONAL],
     )
 
 
@@ -46,9 +47,13 @@ def tracks(
     """Fixes to nested tracks: one track row per session and bucket, so that no
     row holds more of a very long session than one bucket (a day by default)."""
     b = F.date_trunc("day", F.col(ts)) if bucket is None else bucket
+    # the order of the format: elevation, time, the rest
+    first, rest = [c for c in optional if c == "ele"], [c for c in OPTIONAL if c in optional and c != "ele"]
+    if len(first) + len(rest) != len(optional):
+        raise ValueError(f"optional fields are among {OPTIONAL}")
     at = F.struct(
         F.col(lat).cast("decimal(18,10)").alias("_lat"), F.col(lng).cast("decimal(18,10)").alias("_lon"),
-        F.col(ts).cast("timestamp").alias("time"), *[F.col(c) for c in optional],
+        *[F.col(c) for c in first], F.col(ts).cast("timestamp").alias("time"), *[F.col(c) for c in rest],
     )
     order = F.struct(F.col(ts).alias("o0"), *[F.col(c).alias(f"o{i + 1}") for i, c in enumerate(tie)], at.alias("pt"))
     g = df.groupBy(F.col(session).cast("string").alias("name"), b.alias("part")).agg(F.array_sort(F.collect_list(order)).alias("pts"))
