@@ -104,7 +104,8 @@ def store_size(spark, d):
     ST + ", r AS (SELECT id, sum(bytes) OVER (ORDER BY cached_at DESC NULLS LAST, id DESC ROWS UNBOUNDED PRECEDING) AS run FROM s) SELECT id FROM r WHERE run <= 20000000",
 )
 def evict_oldest(spark, d):
-    return T.evict_oldest(store(spark, d), 20_000_000, bucket=F.date_trunc("month", "cached_at")).select("id")
+    by_id = F.floor(F.col("id") / 4096)
+    return T.evict_oldest(store(spark, d), 20_000_000, bucket=F.date_trunc("month", "cached_at"), finer=[F.col("cached_at"), by_id]).select("id")
 
 
 @query("read_mbtiles", ST + " SELECT id, zoom, x, 255 - ((y * 7) % 256) AS y FROM s")

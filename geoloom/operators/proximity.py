@@ -47,7 +47,7 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, on: Sequence[st
     return met.withColumn("distance_m", d).filter(F.col("distance_m") <= radius).drop("__near_zone", "__cx", "__cy")
 
 
-def connected_groups(nodes: DataFrame, edges: DataFrame, node: str = "id", label: str = "group_id", max_rounds: int = 60) -> DataFrame:
+def connected_groups(nodes: DataFrame, edges: DataFrame, node: str = "id", label: str = "group_id") -> DataFrame:
     """Smallest reachable id of every node. ``edges`` has columns a and b.
 
     Each round takes the least label over the neighbours and then the label of
@@ -56,7 +56,7 @@ def connected_groups(nodes: DataFrame, edges: DataFrame, node: str = "id", label
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = cut_lineage(both)
     labels = cut_lineage(nodes.select(F.col(node).alias("n"), F.col(node).alias("l")).distinct())
-    for _ in range(max_rounds):
+    while True:
         seen = both.join(labels.withColumnRenamed("n", "b"), "b").groupBy("a").agg(F.min("l").alias("m"))
         stepped = labels.join(seen.withColumnRenamed("a", "n"), "n", "left").select("n", "l", F.least("l", "m").alias("k"))
         jump = stepped.select(F.col("n").alias("k"), F.col("k").alias("kk"))
@@ -66,8 +66,6 @@ def connected_groups(nodes: DataFrame, edges: DataFrame, node: str = "id", label
         labels = nxt.select("n", "l")
         if not changed:
             break
-    else:
-        raise RuntimeError("labels did not settle")
     return labels.select(F.col("n").alias(node), F.col("l").alias(label))
 
 

@@ -123,18 +123,16 @@ def known_centers(places: DataFrame, centers: DataFrame) -> DataFrame:
     return spot.join(gone, ["place_id", "seq"], "left_anti")
 
 
-def dropped_by_earlier(close: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def dropped_by_earlier(close: DataFrame) -> DataFrame:
     """place_id, seq of rows dropped when rows are taken in order and one goes if a
     *kept* earlier row is close. ``close``: place_id, seq, earlier.
 
-    Each round settles the rows whose earlier neighbours are all settled; rows
+    Each round settles the rows whose earlier neighbours are all settled, the first of them at least; rows
     without close neighbours never enter, so the table shrinks fast.
     """
     open_edges = cut_lineage(close)
     dropped: DataFrame | None = None
-    for _ in range(max_rounds):
-        if open_edges.isEmpty():
-            break
+    while not open_edges.isEmpty():
         later = open_edges.select("place_id", F.col("seq").alias("earlier")).distinct()
         kept = open_edges.select("place_id", "earlier").distinct().join(later, ["place_id", "earlier"], "left_anti")
         gone = cut_lineage(open_edges.join(kept, ["place_id", "earlier"], "left_semi").select("place_id", "seq").distinct())
@@ -142,8 +140,6 @@ def dropped_by_earlier(close: DataFrame, max_rounds: int = 1000) -> DataFrame:
         as_earlier = gone.select("place_id", F.col("seq").alias("earlier"))
         open_edges = open_edges.join(gone, ["place_id", "seq"], "left_anti").join(as_earlier, ["place_id", "earlier"], "left_anti")
         open_edges = cut_lineage(open_edges)
-    else:
-        raise RuntimeError("order of close rows did not settle")
     return close.select("place_id", "seq").limit(0) if dropped is None else dropped
 
 

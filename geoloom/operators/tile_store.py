@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -81,26 +82,32 @@ def store_size(df: DataFrame, tile: str = "tile") -> DataFrame:
 
 def evict_oldest(
     df: DataFrame, cap_bytes: int, order: Sequence[str] = ("cached_at", "id"), size: str = "bytes",
-    bucket: Column | None = None,
+    bucket: Column | None = None, finer: Sequence[Column] = (),
 ) -> DataFrame:
     """Rows that stay when the oldest are dropped until the rest fits the cap.
 
-    Sizes are summed per time bucket first; only the one bucket the cap falls in
-    needs its rows in order. Buckets newer than it stay whole, older ones go. Rows
-    without a time are the oldest of all and go first.
+    Sizes are summed per time bucket first. Buckets newer than the one the cap falls in
+    stay whole, older ones go; that one is divided by the next of the ``finer`` buckets, and so on.
+    Only rows of the last bucket found are put in order, so the finest bucket bounds what
+    one task sorts, whatever its share of the store. Buckets must follow ``order``: a day in a
+    month, then a range of ids in a day. Rows without a time are the oldest of all and go first.
     """
-    rows = df.withColumn("__b", F.date_trunc("hour", F.col(order[0])) if bucket is None else bucket)
-    totals = rows.groupBy("__b").agg(F.sum(size).alias("__sum"))
-    newest_first = W.orderBy(F.col("__b").desc_nulls_last())
-    # one row per bucket: the ordered pass is over totals, not tiles
-    totals = totals.withColumn("__through", F.sum("__sum").over(newest_first.rowsBetween(W.unboundedPreceding, 0)))
-    totals = totals.withColumn("__before", F.col("__through") - F.col("__sum")).drop("__sum")
-    placed = rows.join(totals.withColumnRenamed("__b", "__of"), F.col("__b").eqNullSafe(F.col("__of"))).drop("__of")
-    whole = placed.filter(F.col("__through") <= cap_bytes)
-    edge = placed.filter((F.col("__through") > cap_bytes) & (F.col("__before") < cap_bytes))
-    w = W.partitionBy("__b").orderBy(*[F.col(c).desc_nulls_last() for c in order]).rowsBetween(W.unboundedPreceding, 0)
-    part = edge.withColumn("__run", F.col("__before") + F.sum(size).over(w)).filter(F.col("__run") <= cap_bytes)
-    return whole.unionByName(part.drop("__run")).drop("__b", "__through", "__before")
+    first = F.date_trunc("hour", F.col(order[0])) if bucket is None else bucket
+    edge, kept = df.withColumn("__base", F.lit(0).cast("bigint")), []
+    newest_first = W.orderBy(F.col("__of").desc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
+    for level in (first, *finer):
+        rows = edge.withColumn("__b", level)
+        # one row per bucket: the ordered pass is over totals, not tiles
+        totals = rows.groupBy(F.col("__b").alias("__of")).agg(F.sum(size).alias("__sum"), F.max("__base").alias("__start"))
+        totals = totals.withColumn("__through", F.col("__start") + F.sum("__sum").over(newest_first))
+        totals = totals.select("__of", "__through", (F.col("__through") - F.col("__sum")).alias("__before"))
+        placed = rows.drop("__base").join(totals, F.col("__b").eqNullSafe(F.col("__of")))
+        kept.append(placed.filter(F.col("__through") <= cap_bytes).select(df.columns))
+        edge = placed.filter((F.col("__through") > cap_bytes) & (F.col("__before") <= cap_bytes))
+        edge = edge.select(*df.columns, F.col("__before").alias("__base"))
+    w = W.partitionBy("__base").orderBy(*[F.col(c).desc_nulls_last() for c in order]).rowsBetween(W.unboundedPreceding, 0)
+    kept.append(edge.withColumn("__run", F.col("__base") + F.sum(size).over(w)).filter(F.col("__run") <= cap_bytes).select(df.columns))
+    return reduce(DataFrame.unionByName, kept)
 
 
 def read_tile_store(spark, path: str, joined: bool = False, tile_path: str | None = None) -> DataFrame:

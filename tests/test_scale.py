@@ -132,3 +132,21 @@ def test_connected_groups_on_a_long_chain(spark):
     e = spark.range(39).filter("id <> 19").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = {r.id: r.group_id for r in X.connected_groups(n, e).collect()}
     assert all(got[i] == (0 if i < 20 else 20) for i in range(40))
+
+
+def test_eviction_in_one_moment(spark):
+    """Most tiles have one time and the cap falls among them: ids divide them further; sizes of nothing and no time."""
+    from geoloom.operators.tile_store import evict_oldest
+
+    rows = [(i, None if i % 97 == 0 else "2024-01-05" if i % 5 else f"2024-0{1 + i % 3}-0{1 + i % 7}", 0 if i % 31 == 0 else i % 13) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id bigint, day string, bytes bigint").withColumn("cached_at", F.to_timestamp("day"))
+    ordered = sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[0]), reverse=True)
+    for cap in (0, 1, 5000, 9001, 10**9):
+        run, want = 0, []
+        for r in ordered:
+            run += r[2]
+            if run <= cap:
+                want.append(r[0])
+        for finer in ([], [F.date_trunc("day", "cached_at"), F.floor(F.col("id") / 64), F.col("id")]):
+            got = evict_oldest(df, cap, bucket=F.date_trunc("month", "cached_at"), finer=finer)
+            assert got.columns == df.columns and sorted(r.id for r in got.collect()) == sorted(want)
