@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; rows without an id stay unless a copy has one."""
+    """One document of each group of near-duplicates; rows without an id all stay."""
     judged = near_duplicates(docs)
     out = staged(judged.where("not kept").select("doc_id").distinct(), "dropped")
     named = docs.where("doc_id is not null").join(out, "doc_id", "left_anti").select(docs.columns)
