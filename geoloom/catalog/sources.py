@@ -123,6 +123,73 @@ def read_osm_elements(spark, d):
     return elements(spark, d).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _lines(docs, head, inner, tail):
+    """Lines of text, one document of up to a thousand keys after the other."""
+    n = F.floor(F.col("k") / 1000)
+    body = docs.select(n.alias("file"), F.lit(1).alias("line"), "k", F.concat(F.lit(","), inner).alias("value"))
+    files = docs.select(n.alias("file")).distinct()
+    ends = [files.select("file", F.lit(i).alias("line"), F.lit(0).alias("k"), F.lit(t).alias("value")) for i, t in ((0, head), (2, tail))]
+    lines = body.unionByName(ends[0]).unionByName(ends[1])
+    return lines.repartition("file").sortWithinPartitions("file", "line", "k").select("value")
+
+
+OSM_HEAD = '{"version":0.6,"osm3s":{"copyright":"a } and a {","times":{"base":{}}},"elements":[{"type":"way","id":0,"tags":{"name":"\\"elements\\":[{"}}'
+PARTS = f"""p AS (SELECT p_partkey, p_name, p_partkey * 20 + 20 AS b, lat, lng FROM part JOIN ({P.sql_points('part', 'p_partkey', 'region', 'p_partkey AS k')}) ON k = p_partkey)"""
+
+
+@query(
+    "read_osm_files",
+    f"""WITH {PARTS}
+SELECT 'node' AS type, b + t.i AS id, round(lat + t.dy, 6) AS lat, round(lng + t.dx, 6) AS lon, CASE WHEN t.i = 9 THEN p_name END AS name, CAST(NULL AS VARCHAR) AS refs, 0 AS vertices
+ FROM p, (VALUES (1, -0.02e0, -0.02e0), (2, 0.02e0, -0.02e0), (3, 0.02e0, 0.02e0), (4, -0.02e0, 0.02e0), (5, -0.005e0, -0.005e0), (6, 0.005e0, -0.005e0), (7, 0.005e0, 0.005e0), (8, -0.005e0, 0.005e0), (9, 0e0, 0e0)) t(i, dx, dy)
+UNION ALL SELECT 'way', b + 1, NULL, NULL, NULL, concat_ws(',', b + 1, b + 2, b + 3), 0 FROM p
+UNION ALL SELECT 'way', b + 2, NULL, NULL, NULL, concat_ws(',', b + 1, b + 4, b + 99, b + 3), 0 FROM p
+UNION ALL SELECT 'way', b + 3, NULL, NULL, NULL, concat_ws(',', b + 5, b + 6, b + 7, b + 8, b + 5), 0 FROM p
+UNION ALL SELECT 'way', b + 12, NULL, NULL, p_name, NULL, 5 FROM p
+UNION ALL SELECT 'relation', p_partkey + 1, NULL, NULL, p_name, concat('way:', b + 1, ':outer,way:', b + 2, ':,way:', b + 3, ':inner,node:', b + 9, ':label,node:', b + 9, ':admin_centre,node:', b + 10, ':stop'), 0 FROM p""",
+)
+def read_osm_files(spark, d):
+    """Elements of all parts in a few long documents, written and read in byte ranges."""
+    docs = osm_bodies(spark, d).withColumnRenamed("p_partkey", "k")
+    path = work_folder(spark, "osm")
+    inner = F.regexp_extract("body", r'(?s)^\{"elements":\[(.*)\]\}$', 1)
+    _lines(docs, OSM_HEAD, inner, '],"after":[{"type":"node","id":-1}]}').write.text(path)
+    e = osm.read_osm_files(spark, path).filter("id <> 0")
+    member = F.transform("members", lambda m: F.concat_ws(":", m["type"], m["ref"], m["role"]))
+    refs = F.coalesce(F.array_join(F.transform("nodes", lambda n: n.cast("string")), ","), F.array_join(member, ","))
+    return e.select(
+        "type", "id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.col("tags")["name"].alias("name"),
+        refs.alias("refs"), F.coalesce(F.size("geometry"), F.lit(0)).alias("vertices"),
+    )
+
+
+@query(
+    "read_geojson_files",
+    f"""WITH p AS (SELECT p_partkey, n, lng, lat, e FROM ({P.sql_points('part', 'p_partkey', 'region', 'p_partkey')}), (VALUES (0, 0.02e0), (1, 0.02e0), (2, 0.005e0)) t(n, e)
+ WHERE n = 0 OR p_partkey % 4 = 3 OR (p_partkey % 4 = 1 AND n = 2))
+SELECT CASE WHEN p_partkey % 4 < 3 THEN CAST(p_partkey AS VARCHAR) ELSE 'c' || p_partkey END AS id, round(lng - e, 4) AS x0, round(lat - e, 4) AS y0, round(lng + e, 4) AS x1, round(lat + e, 4) AS y1, 4 AS vertices,
+ CASE WHEN p_partkey % 4 = 1 OR n > 0 THEN 0 ELSE 1 END AS holes FROM p""",
+)
+def read_geojson_files(spark, d):
+    """All documents as features of a few collections, written and read in byte ranges."""
+    docs = geojson_docs(spark, d).withColumnRenamed("p_partkey", "k")
+    path = work_folder(spark, "geojson")
+    part_of = F.get_json_object("body", "$.features[0].geometry")
+    ident = F.concat(F.when(F.col("k") % 4 == 3, "c").otherwise(""), F.col("k").cast("string"))
+    inner = F.concat(
+        F.lit('{"type":"Feature","id":"'), ident, F.lit('","properties":{"note":"a } in a \\"text\\""},"geometry":'), F.coalesce(part_of, "body"), F.lit("}")
+    )
+    head = '{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"{"}},"features":[{"type":"Feature","geometry":null}'
+    _lines(docs, head, inner, "]}").write.text(path)
+    g = geojson.read_geojson_files(spark, path)
+    least = lambda axis: F.array_min(F.transform("outer", lambda v: v[axis]))
+    most = lambda axis: F.array_max(F.transform("outer", lambda v: v[axis]))
+    return g.select(
+        "id", least("x").alias("x0"), least("y").alias("y0"), most("x").alias("x1"), most("y").alias("y1"),
+        F.size("outer").alias("vertices"), F.size("holes").alias("holes"),
+    )
+
+
 @query(
     "parse_places",
     f"""SELECT (p_partkey + 1) * 20 + 9 AS osm_id, 'node' AS osm_type, p_name AS name, {CLASS_SQL} AS place, '' AS region, round(lat, 6) AS lat FROM part JOIN ({P.sql_points('part', 'p_partkey', 'region', 'p_partkey AS k')}) ON k = p_partkey

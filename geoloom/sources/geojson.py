@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.functions import rings as G
 from geoloom.functions.core import let
 from geoloom.operators.utm import utm_zone, with_utm
+from geoloom.sources.json_members import read_members, read_undivided
 
 NESTED_T = "struct<type:string,coordinates:string,geometries:array<struct<type:string,coordinates:string>>>"
 DOCUMENT = (
@@ -73,6 +74,18 @@ def read_geojson(df: DataFrame, key: str, body: str = "body") -> DataFrame:
     return out.filter(F.size("outer") >= 3)
 
 
+def read_geojson_files(spark: SparkSession, path: str) -> DataFrame:
+    """file, id, outer, holes of the polygons in files of any size.
+
+    Collections are read in byte ranges, one row per feature (with its id) or geometry. A bare
+    geometry or feature is one row anyhow.
+    """
+    many = read_members(spark, path, "features", "geometries").select("file", "value")
+    rows = many.unionByName(read_undivided(spark, path, many))
+    rows = rows.select(F.struct("file", F.get_json_object("value", "$.id").alias("id")).alias("key"), "value")
+    return read_geojson(rows, "key", "value").select("key.file", "key.id", "outer", "holes")
+
+
 def project_rings(df: DataFrame, keep: list[str], outer: str = "outer", holes: str = "holes") -> DataFrame:
     """Rings in degrees to UTM metres, all in the zone of the first outer vertex.
 

@@ -11,6 +11,7 @@ from geoloom.operators import tile_store as T
 from geoloom.operators.tiling import plan_tiles
 from geoloom.session import work_folder
 from geoloom.sources import geojson, gpx, osm, snapshot
+from geoloom.sources.json_members import read_members
 
 
 def geo(spark, doc):
@@ -196,3 +197,66 @@ def test_tile_store_files(spark, small):
     day = F.to_timestamp_ntz(F.lit("1998-01-01 00:00:00"))
     T.rewrite_without_expired(spark, path, target, day, 1)
     assert T.read_tile_store(spark, target).count() == T.expire_rows(s, day, 1).count()
+
+
+def _awkward(n):
+    """Elements with braces, quotes, backslashes and brackets in texts, deep and empty objects."""
+    rows = []
+    for i in range(n):
+        e = {"type": ("node", "way", "relation")[i % 3], "id": i, "tags": {"name": ['a } b', 'q" : [{', "\\", '\\"elements":[{', "Київ {", "]"][i % 6] * (i % 5)}}
+        if i % 4 == 0:
+            e["members"] = [{"type": "way", "ref": i * 10 + j, "role": '"elements": [{' if j % 2 else ""} for j in range(i % 7)]
+        if i % 5 == 0:
+            e["center"] = {"lat": i / 10, "lon": -i / 10}
+        rows.append(e)
+    return rows
+
+
+@pytest.mark.parametrize("block", [64, 301, 4096])
+def test_members_by_byte_ranges(spark, tmp_path, block):
+    """Every element of files cut at any place, as a JSON parser finds them."""
+    head = {"version": 0.6, "osm3s": {"x": {"elements": [{"type": "no", "id": -1}]}, "y": {"z": {}}, "w": {}}, "other": [{"id": -2}, {"id": -3}]}
+    docs = {
+        "plain.json": [({"elements": _awkward(60)}, None)],
+        "pretty.json": [({**head, "elements": _awkward(40), "after": [{"id": -4}, 5], "last": {"a": {"b": 1}}}, 2)],
+        "lines.json": [({"elements": _awkward(k)}, None) for k in (0, 1, 7, 2)],
+        "empty.json": [({"elements": []}, None)],
+    }
+    for name, parts in docs.items():
+        (tmp_path / name).write_text("\n".join(json.dumps(d, indent=i, ensure_ascii=name == "plain.json") for d, i in parts), encoding="utf-8")
+    (tmp_path / "nothing.json").write_text("")
+    (tmp_path / "cut.json").write_text('{"elements":[null, 3, {"id": 900001}, {"id": 900002, "tags": {"na')
+    want = sorted(json.dumps(e, sort_keys=True) for parts in docs.values() for d, _ in parts for e in d["elements"])
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = read_members(spark, str(tmp_path), "elements").select("value").collect()
+        n = osm.read_osm_files(spark, str(tmp_path)).count()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    got = [json.loads(r.value) for r in got]
+    assert sorted(json.dumps(e, sort_keys=True) for e in got if e["id"] != 900001) == want
+    assert n == len(want) + 1
+
+
+def test_geojson_files(spark, tmp_path):
+    poly = lambda x: {"type": "Polygon", "coordinates": [box(x, 49.0, 0.01)]}
+    docs = {
+        "many": {"type": "FeatureCollection", "features": [{"type": "Feature", "id": i, "properties": {"t": "}"}, "geometry": poly(30 + i / 10)} for i in range(9)]},
+        "coll": {"type": "GeometryCollection", "geometries": [poly(36.0), {"type": "Point", "coordinates": [1, 2]}, poly(37.0)]},
+        "one": poly(38.0),
+        "feature": {"type": "Feature", "id": 77, "properties": {"t": "a } in a text"}, "geometry": poly(39.0)},
+    }
+    for name, doc in docs.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(doc) + ("\n" if name == "one" else ""))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+        rows = geojson.read_geojson_files(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.id or "", round(r.outer[0].x, 3)) for r in rows) == sorted(
+        [(str(i), round(30 + i / 10, 3)) for i in range(9)] + [("", 36.0), ("", 37.0), ("", 38.0), ("77", 39.0)]
+    )
