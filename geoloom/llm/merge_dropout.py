@@ -26,6 +26,36 @@ MARK = "▁"
 ALL = (1 << 64) - 1
 
 
+@dataclass
+class Merges:
+    """All merges as arrays. Symbols are pieces and the signs that stand in them; ``pairs`` (left << 32 | right, sorted)
+    become the symbols ``joined`` with the ranks ``order``. ``points`` are the code points of symbols that are ``signs``,
+    and symbol ``i`` is spelled by the ids ``spelled[ends[i]:ends[i + 1]]``."""
+
+    pairs: np.ndarray
+    order: np.ndarray
+    joined: np.ndarray
+    points: np.ndarray
+    signs: np.ndarray
+    spelled: np.ndarray
+    ends: np.ndarray
+
+
+def merge_arrays(ids: dict[str, int], rank: dict[str, int], byte: list[int]) -> Merges:
+    symbol = {x: i for i, x in enumerate(sorted({*ids, *(c for x in ids for c in x)}))}
+    found = sorted(
+        (symbol[x[:i]] << 32 | symbol[x[i:]], rank[x], symbol[x])
+        for x in ids for i in range(1, len(x)) if x[:i] in symbol and x[i:] in symbol
+    )
+    pairs, order, joined = (np.array([f[k] for f in found], t) for k, t in enumerate((np.uint64, np.int32, np.int32)))
+    single = sorted((ord(x), i) for x, i in symbol.items() if len(x) == 1)
+    spelled = [[ids[x]] if x in ids else [byte[b] for b in x.encode("utf-8", "surrogatepass")] for x in symbol]
+    return Merges(
+        pairs, order, joined, np.array([s[0] for s in single], np.int64), np.array([s[1] for s in single], np.int32),
+        np.array([i for x in spelled for i in x], np.int32), np.cumsum([0, *map(len, spelled)]),
+    )
+
+
 @dataclass
 class Pieces:
     """The pieces of a merge-type model: ids and ranks (the best score is 0), byte ids, and the bytes of every id."""
@@ -35,6 +65,7 @@ class Pieces:
     byte: list[int]
     raw: list[bytes]
     cut: str = field(default="")
+    merges: Merges | None = None
 
 
 def load_pieces(path: str) -> Pieces:
@@ -53,7 +84,8 @@ def load_pieces(path: str) -> Pieces:
             ids[piece], score[piece] = i, model.get_score(i)
             raw.append(piece.replace(MARK, " ").encode())
     order = {s: k for k, s in enumerate(sorted(set(score.values()), reverse=True))}
-    return Pieces(ids, {x: order[s] for x, s in score.items()}, byte, raw, cut_pattern(ids))
+    rank = {x: order[s] for x, s in score.items()}
+    return Pieces(ids, rank, byte, raw, cut_pattern(ids), merge_arrays(ids, rank, byte))
 
 
 def cut_pattern(ids: dict[str, int]) -> str:
@@ -79,7 +111,7 @@ def scramble(x: int) -> int:
     return x ^ (x >> 31)
 
 
-SHORT = 64  # longest chunk whose agenda is a plain list, and longest one remembered
+SHORT = 64  # longest chunk whose agenda is a row of an array, and longest one remembered
 NEVER = 1 << 62
 
 
@@ -89,7 +121,8 @@ def keyed_words(key: str, n: int) -> list[int]:
 
 
 def merge_short(rank: dict[str, int], chunk: str, by_rank: list[int], by_place: list[int], limit: int) -> list[str]:
-    """Pieces of a short chunk: the agenda is the list of the ranks of its neighbours, searched for the least."""
+    """Pieces of one short chunk in the plainest form, which the arrays of :class:`Cutter` are held against:
+    the agenda is the list of the ranks of its neighbours, searched for the least."""
     get, part, place = rank.get, list(chunk), list(range(len(chunk)))
     agenda = [get(chunk[i : i + 2], NEVER) for i in range(len(chunk) - 1)]
     while agenda and (r := min(agenda)) != NEVER:
@@ -141,96 +174,205 @@ class Drops:
         return 0 if self.seen - 1 in self.at else 1
 
 
-class Coins:
-    """Stands for the keyed words of an occurrence of a long chunk: its candidate ``first`` is the first to drop, later ones are drawn as they come up."""
+GOLDEN = 0x9E3779B97F4A7C15
+FAR = 1 << 40
+
+
+def waits(keys: np.ndarray, dropout: float) -> np.ndarray:
+    """How many candidates are spared before the next drop: independent draws of probability ``dropout``, from keys."""
+    if dropout <= 0:
+        return np.full(len(keys), FAR)
+    if dropout >= 1:
+        return np.zeros(len(keys), np.int64)
+    u = ((mix(keys) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+    return np.floor(np.log(u) / np.log1p(-dropout)).astype(np.int64)
+
+
+OTHER = 1 << 28  # signs that stand in no piece
+NONE = (1 << 31) - 1  # no symbol
+NO = np.int32((1 << 31) - 1)  # the rank of no merge
+
+
+class Keyed:
+    """Stands for the keyed words of one occurrence: candidate ``first`` is dropped, and how many are spared until the next is drawn from ``key``."""
 
     def __init__(self, key: int, first: int, dropout: float):
-        self.draw, self.left, self.dropout = random.Random(key).random, first, dropout
+        self.key, self.next, self.dropout, self.seen, self.drops = key, first, dropout, 0, 0
 
     def __getitem__(self, _: int) -> int:
-        self.left -= 1
-        return 1 if self.left >= 0 else 0 if self.left == -1 or self.draw() < self.dropout else 1
+        self.seen += 1
+        if self.seen - 1 != self.next:
+            return 1
+        self.drops += 1
+        self.next = self.seen + int(waits(np.array([self.key + self.drops * GOLDEN & ALL], np.uint64), self.dropout)[0])
+        return 0
 
 
-class Memory(dict):
-    """What became of a chunk with the candidate merges of some numbers dropped: how many came up in all, and the packed piece ids.
+class Cutter:
+    """Cuts many chunks at once: a row of an array is the agenda of one chunk.
 
-    The key is ``(chunk, numbers)``, or the chunk alone where none is dropped; a new one is cut on the way.
-    Candidate merges wait in an agenda by score, then from the left; a later merge beside a
-    dropped one may propose the place anew. What is remembered decides no draw.
+    In each round every row takes its candidate merge of least rank, from the left, and drops it or does
+    it. A later merge beside a dropped one may propose the place anew. Rows without candidates leave.
     """
 
-    def __init__(self, p: Pieces, size: int = 500_000):
-        self.p, self.size = p, size
-
-    def cut(self, chunk: str, drops: Drops | Coins) -> list[int]:
-        p, out = self.p, []
-        merge = merge_short if len(chunk) <= SHORT else merge_long
-        for x in merge(p.rank, chunk, drops, bytes(len(chunk)), 1):
-            at = p.ids.get(x)
-            if at is None:
-                out += [p.byte[b] for b in x.encode("utf-8", "surrogatepass")]
-            else:
-                out.append(at)
+    def __init__(self, p: Pieces, dropout: float, rows: int = 1 << 14):
+        self.p, self.m, self.dropout, self.rows = p, p.merges, dropout, rows
+        self.symbol = np.full(0x110000, -1, np.int32)
+        self.symbol[self.m.points] = self.m.signs
+        self.bits = max(4, int(len(self.m.pairs)).bit_length() + 2)
+        self.slot = np.full(1 << self.bits, -1, np.int32)
+        open_ = np.arange(len(self.m.pairs), dtype=np.int32)
+        at = self._hash(self.m.pairs)
+        while len(open_):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = open_[free]
+            left = self.slot[at] != open_
+            open_, at = open_[left], (at[left] + 1) & (len(self.slot) - 1)
+        self.at_slot = np.where(self.slot >= 0, self.m.pairs[self.slot] if len(self.m.pairs) else 0, np.uint64(ALL))
+
+    def _hash(self, pairs: np.ndarray) -> np.ndarray:
+        return (pairs * np.uint64(GOLDEN) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and symbol of what neighbours join to; rank ``NO`` where they don't."""
+        pairs = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        at = self._hash(pairs)
+        held = self.at_slot[at]
+        more = np.flatnonzero((held != pairs) & (held != ALL))
+        while len(more):
+            at[more] = (at[more] + 1) & (len(self.slot) - 1)
+            held[more] = now = self.at_slot[at[more]]
+            more = more[(now != pairs[more]) & (now != ALL)]
+        rank, symbol = np.full(len(pairs), NO, np.int32), np.zeros(len(pairs), np.int32)
+        hit = np.flatnonzero(held == pairs)
+        which = self.slot[at[hit]]
+        rank[hit], symbol[hit] = self.m.order[which], self.m.joined[which]
+        return rank, symbol
+
+    def cut(self, chunks: list[str], first: np.ndarray, keys: np.ndarray) -> tuple[list[int], list[bytes]]:
+        """How many candidates came up and the packed piece ids, of each chunk; its candidate ``first`` is the first to drop."""
+        seen, ids = np.zeros(len(chunks), np.int64), np.full(len(chunks), b"", object)
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        low = 0
+        for high in (4, 8, 12, 16, 24, 32, 48, SHORT):
+            some = np.flatnonzero((size > low) & (size <= high))
+            for at in range(0, len(some), self.rows):
+                part = some[at : at + self.rows]
+                seen[part], ids[part] = self._rows([chunks[i] for i in part.tolist()], size[part], high, first[part], keys[part])
+            low = high
+        for i in np.flatnonzero(size > SHORT).tolist():
+            drops = Keyed(int(keys[i]), int(first[i]), self.dropout)
+            pieces = merge_long(self.p.rank, chunks[i], drops, bytes(len(chunks[i])), 1)
+            out: list[int] = []
+            for x in pieces:
+                out += [self.p.ids[x]] if x in self.p.ids else [self.p.byte[b] for b in x.encode("utf-8", "surrogatepass")]
+            seen[i], ids[i] = drops.seen, array("i", out).tobytes()
+        return seen.tolist(), ids.tolist()
+
+    def _rows(self, chunks, size, width, first, keys):
+        n = len(chunks)
+        points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        signs = self.symbol[points]
+        # signs in no piece are numbered beyond the symbols and never join
+        signs = np.where(signs < 0, OTHER + points, signs)
+        row = np.repeat(np.arange(n), size)
+        col = np.arange(len(points)) - np.repeat(np.cumsum(size) - size, size)
+        part = np.full((n, width + 1), NONE, np.int64)
+        part[row, col] = signs
+        agenda, joined = np.full((n, width + 1), NO, np.int32), np.zeros((n, width + 1), np.int32)
+        inner = np.flatnonzero(row[1:] == row[:-1])
+        agenda[row[inner], col[inner]], joined[row[inner], col[inner]] = self._find(signs[inner], signs[inner + 1])
+        # the last column stands for both ends of a chunk
+        after = np.tile(np.append(np.arange(1, width + 1), width), (n, 1))
+        before = np.tile(np.append(width, np.arange(width)), (n, 1))
+        after[np.arange(n), size - 1] = width
+        seen, drops, drop_at = np.zeros(n, np.int64), np.zeros(n, np.uint64), first.copy()
+        rows = np.arange(n)
+        while len(rows):
+            i = agenda[rows].argmin(1)
+            going = agenda[rows, i] != NO
+            rows, i = rows[going], i[going]
+            gone = seen[rows] == drop_at[rows]
+            seen[rows] += 1
+            r, k = rows[gone], i[gone]
+            if len(r):
+                agenda[r, k] = NO
+                drops[r] += np.uint64(1)
+                drop_at[r] = seen[r] + waits(keys[r] + drops[r] * np.uint64(GOLDEN), self.dropout)
+            r, k = rows[~gone], i[~gone]
+            new, j = joined[r, k], after[r, k]
+            part[r, k], part[r, j], agenda[r, j] = new, NONE, NO
+            h, k2 = before[r, k], after[r, j]
+            after[r, k], before[r, k2] = k2, k
+            agenda[r, k], joined[r, k] = self._find(new, part[r, k2])
+            agenda[r, h], joined[r, h] = self._find(part[r, h], new)
+        return seen, self._spell(part, n)
+
+    def _spell(self, part: np.ndarray, n: int) -> np.ndarray:
+        row, col = np.nonzero(part != NONE)
+        symbols = part[row, col]
+        spelled, starts = self.m.spelled, self.m.ends
+        other = symbols >= OTHER
+        if other.any():
+            rare, which = np.unique(symbols[other], return_inverse=True)
+            bytes_of = [[self.p.byte[b] for b in chr(c - OTHER).encode("utf-8", "surrogatepass")] for c in rare.tolist()]
+            symbols = symbols.copy()
+            symbols[other] = len(starts) - 1 + which
+            spelled = np.concatenate([spelled, np.array([b for x in bytes_of for b in x], np.int32)])
+            starts = np.concatenate([starts, starts[-1] + np.cumsum([len(x) for x in bytes_of])])
+        count = starts[symbols + 1] - starts[symbols]
+        ends = np.cumsum(count)
+        flat = spelled[np.repeat(starts[symbols] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int32).tobytes()
+        each = np.cumsum(np.bincount(row, weights=count, minlength=n).astype(np.int64) * 4).tolist()
+        out = np.empty(n, object)
+        out[:] = [flat[a:z] for a, z in zip([0, *each], each, strict=False)]
         return out
 
-    def __missing__(self, key) -> tuple[int, bytes]:
-        chunk, at = (key, ()) if isinstance(key, str) else key
-        drops = Drops(at if len(at) < 8 else frozenset(at))
-        ids = array("i", self.cut(chunk, drops)).tobytes()
-        if len(chunk) <= SHORT:
-            if len(self) >= self.size:
-                self.clear()
-            self[key] = drops.seen, ids
-        return drops.seen, ids
 
+class Memory(dict):
+    """What a chunk becomes when no merge is dropped: how many candidates come up, and the packed piece ids. It decides no draw."""
 
-GOLDEN = 0x9E3779B97F4A7C15
-FAR = 1 << 40
+    def __init__(self, cutter: Cutter, size: int = 500_000):
+        self.cutter, self.size = cutter, size
 
+    def learn(self, chunks: set[str]) -> None:
+        if len(self) > self.size:
+            self.clear()
+        new = list(chunks.difference(self))
+        seen, ids = self.cutter.cut(new, np.full(len(new), FAR), np.zeros(len(new), np.uint64))
+        self.update(zip(new, zip(seen, ids, strict=True), strict=True))
 
-def waits(keys: np.ndarray, dropout: float) -> np.ndarray:
-    """How many candidates are spared before the next drop: independent draws of probability ``dropout``, from keys."""
-    if dropout <= 0:
-        return np.full(len(keys), FAR)
-    if dropout >= 1:
-        return np.zeros(len(keys), np.int64)
-    u = ((mix(keys) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
-    return np.floor(np.log(u) / np.log1p(-dropout)).astype(np.int64)
+    def forget_long(self, chunks: set[str]) -> None:
+        for c in chunks:
+            if len(c) > SHORT:
+                del self[c]
 
 
-def pieces_of(chunk: str, key: int, first: int, second: int, dropout: float, memory: Memory) -> bytes:
-    """Piece ids of an occurrence whose candidate ``first`` is dropped, and the one ``second`` places after the next if it comes up."""
-    if len(chunk) > SHORT:
-        return array("i", memory.cut(chunk, Coins(key, first, dropout))).tobytes()
-    at, wait, k = (first,), second, 1
-    while True:
-        seen, ids = memory[chunk, at]
-        drop = at[-1] + 1 + wait
-        if drop >= seen:
-            return ids
-        at, k = (*at, drop), k + 1
-        wait = int(waits(np.array([key + k * GOLDEN & ALL], np.uint64), dropout)[0])
-
-
-def encode_text(p: Pieces, text: str, start: int, dropout: float, memory: Memory, find) -> bytes:
-    """Piece ids of a text, packed; each occurrence of a chunk draws anew, keyed by ``start`` and its place."""
-    if not text:
-        return b""
+def encode_texts(p: Pieces, texts: list[str], starts: list[int], memory: Memory, find) -> list[bytes]:
+    """Piece ids of texts, packed; each occurrence of a chunk draws anew, keyed by the text's start and its place."""
     mark = array("i", [p.byte[b] for b in MARK.encode()]).tobytes()
-    parts = [find(x.replace(" ", MARK)) for x in (" " + text).split(MARK)]
-    chunks = [c for x in parts for c in x]
-    if not chunks:
-        return mark.join([b""] * len(parts))
-    seen, ids = map(list, zip(*map(getitem, repeat(memory), chunks), strict=True))
-    keys = mix(np.arange(1, len(chunks) + 1, dtype=np.uint64) * np.uint64(GOLDEN) + np.uint64(start))
-    first = waits(keys, dropout)
-    hit = np.flatnonzero(first < np.array(seen))
-    again = waits(keys[hit] + np.uint64(GOLDEN), dropout)
-    for i, key, one, two in zip(hit.tolist(), keys[hit].tolist(), first[hit].tolist(), again.tolist(), strict=True):
-        ids[i] = pieces_of(chunks[i], key, one, two, dropout, memory)
-    ends = [0, *accumulate(map(len, parts))]
-    return mark.join(b"".join(ids[a:z]) for a, z in zip(ends, ends[1:], strict=False))
+    parts = [[find(x.replace(" ", MARK)) for x in (" " + t).split(MARK)] if t else [] for t in texts]
+    chunks = [c for text in parts for x in text for c in x]
+    count = np.array([sum(map(len, text)) for text in parts], np.int64)
+    ids: list[bytes] = []
+    if chunks:
+        known = set(chunks)
+        memory.learn(known)
+        seen, ids = map(list, zip(*map(getitem, repeat(memory), chunks), strict=True))
+        memory.forget_long(known)
+        place = np.arange(1, len(chunks) + 1) - np.repeat(np.cumsum(count) - count, count)
+        keys = mix(place.astype(np.uint64) * np.uint64(GOLDEN) + np.repeat(np.array(starts, np.uint64), count))
+        first = waits(keys, memory.cutter.dropout)
+        hit = np.flatnonzero(first < np.array(seen))
+        at = hit.tolist()
+        for i, cut in zip(at, memory.cutter.cut([chunks[i] for i in at], first[hit], keys[hit])[1], strict=True):
+            ids[i] = cut
+    out, z = [], 0
+    for text in parts:
+        ends = [z, *accumulate(map(len, text), initial=z)][1:]
+        out.append(mark.join(b"".join(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)))
+        z = ends[-1]
+    return out
 
 
 def encode(docs: DataFrame, pieces: Pieces, seed: int = 1, dropout: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,22 +381,19 @@ def encode(docs: DataFrame, pieces: Pieces, seed: int = 1, dropout: float = 0.1,
     A merge is skipped with probability ``dropout`` by a hash keyed with the seed, the
     document and the place of its chunk, so a text
     has the same pieces in every run; another seed gives other ones, and each occurrence of a
-    word draws anew. A task remembers what a word becomes without drops and with those of some
-    candidates. Without dropout the pieces are those of the model itself. Every
+    word draws anew. A task remembers what a word becomes without drops; all occurrences with drops in
+    a batch are cut together. Without dropout the pieces are those of the model itself. Every
     text is encoded to its end; the sign that marks blanks in pieces is spelled in bytes where a text has it.
     Null texts have null ids, empty ones none; a null id counts as zero. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Memory(pieces)
+        memory = Memory(Cutter(pieces, dropout))
         find = re.compile(pieces.cut).findall
         for b in batches:
-            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
-            out = [
-                encode_text(pieces, text or "", scramble((doc or 0) * GOLDEN + seed & ALL), dropout, memory, find)
-                for doc, text in rows
-            ]
+            starts = [scramble((doc or 0) * GOLDEN + seed & ALL) for doc in b.column(0).to_pylist()]
+            out = encode_texts(pieces, [t or "" for t in b.column(1).to_pylist()], starts, memory, find)
             ends = np.cumsum([0, *map(len, out)]) // 4
             ids = pa.ListArray.from_arrays(
                 pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(out), np.int32)), mask=b.column(1).is_null()

@@ -242,6 +242,26 @@ def test_both_agendas_cut_alike(pieces):
             assert limit != 0 or "".join(merge_dropout.merge_short(*args)) == chunk
 
 
+def test_chunks_cut_together_are_cut_as_one_by_one(pieces):
+    """Arrays against the plain agenda, with the same drops: signs in no piece, ties, lengths on both sides of the limit."""
+    import numpy as np
+
+    draw = random.Random(8)
+    vocabulary = [w for w in pieces.rank if len(w) > 2]
+    chunks = ["".join(draw.choice((draw.choice(vocabulary), draw.choice("aeéthn1\u4e00😀\ud800aaa"))) for _ in range(draw.randint(0, 9)))[:100] for _ in range(900)]
+    chunks += ["a" * n for n in range(70)] + ["\u0000", "😀" * 64, "th" * 200]
+    keys = np.arange(len(chunks), dtype=np.uint64) * np.uint64(merge_dropout.GOLDEN)
+    for dropout in (0.0, 0.1, 0.7, 1.0):
+        first = merge_dropout.waits(keys, dropout)
+        seen, ids = merge_dropout.Cutter(pieces, dropout, rows=100).cut(chunks, first, keys)
+        for c, f, k, n, got in zip(chunks, first.tolist(), keys.tolist(), seen, ids, strict=True):
+            drops = merge_dropout.Keyed(k, f, dropout)
+            want = merge_dropout.merge_short(pieces.rank, c, drops, bytes(len(c)), 1)
+            flat = [i for x in want for i in ([pieces.ids[x]] if x in pieces.ids else [pieces.byte[b] for b in x.encode("utf-8", "surrogatepass")])]
+            assert np.frombuffer(got, np.int32).tolist() == flat and n == drops.seen
+    assert merge_dropout.Cutter(pieces, 0.1).cut([], np.zeros(0, np.int64), np.zeros(0, np.uint64)) == ([], [])
+
+
 def test_each_occurrence_draws_its_own_merges(spark, pieces):
     """As many cuts of one word as there are, each as often as its drops say, and the same in every run."""
     n, word = 20_000, " international"
