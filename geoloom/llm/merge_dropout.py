@@ -8,8 +8,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import accumulate, repeat
-from operator import getitem
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -111,7 +110,7 @@ def scramble(x: int) -> int:
     return x ^ (x >> 31)
 
 
-SHORT = 64  # longest chunk whose agenda is a row of an array, and longest one remembered
+SHORT = 64  # longest chunk whose agenda is a row of an array
 NEVER = 1 << 62
 
 
@@ -208,6 +207,25 @@ class Keyed:
         return 0
 
 
+@dataclass
+class Lists:
+    """Lists of ids: list ``i`` is ``flat[starts[i]:starts[i] + counts[i]]``."""
+
+    starts: np.ndarray
+    counts: np.ndarray
+    flat: np.ndarray
+
+    def laid(self) -> np.ndarray:
+        """All lists end to end."""
+        ends = np.cumsum(self.counts)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.starts - (ends - self.counts), self.counts) + np.arange(total)]
+
+    def followed_by(self, more: Lists) -> Lists:
+        starts = np.concatenate([self.starts, len(self.flat) + more.starts])
+        return Lists(starts, np.concatenate([self.counts, more.counts]), np.concatenate([self.flat, more.flat]))
+
+
 class Cutter:
     """Cuts many chunks at once: a row of an array is the agenda of one chunk.
 
@@ -249,16 +267,23 @@ class Cutter:
         rank[hit], symbol[hit] = self.m.order[which], self.m.joined[which]
         return rank, symbol
 
-    def cut(self, chunks: list[str], first: np.ndarray, keys: np.ndarray) -> tuple[list[int], list[bytes]]:
-        """How many candidates came up and the packed piece ids, of each chunk; its candidate ``first`` is the first to drop."""
-        seen, ids = np.zeros(len(chunks), np.int64), np.full(len(chunks), b"", object)
+    def cut(self, chunks: list[str], first: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, Lists]:
+        """How many candidates came up and the piece ids, of each chunk; its candidate ``first`` is the first to drop."""
+        seen, starts, counts, flat, end = *(np.zeros(len(chunks), np.int64) for _ in range(3)), [], 0
+
+        def keep(part: np.ndarray, found: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
+            nonlocal end
+            seen[part], counts[part], starts[part] = found, count, end + np.cumsum(count) - count
+            flat.append(ids)
+            end += len(ids)
+
         size = np.fromiter(map(len, chunks), np.int64, len(chunks))
         low = 0
         for high in (4, 8, 12, 16, 24, 32, 48, SHORT):
             some = np.flatnonzero((size > low) & (size <= high))
             for at in range(0, len(some), self.rows):
                 part = some[at : at + self.rows]
-                seen[part], ids[part] = self._rows([chunks[i] for i in part.tolist()], size[part], high, first[part], keys[part])
+                keep(part, *self._rows([chunks[i] for i in part.tolist()], size[part], high, first[part], keys[part]))
             low = high
         for i in np.flatnonzero(size > SHORT).tolist():
             drops = Keyed(int(keys[i]), int(first[i]), self.dropout)
@@ -266,8 +291,8 @@ class Cutter:
             out: list[int] = []
             for x in pieces:
                 out += [self.p.ids[x]] if x in self.p.ids else [self.p.byte[b] for b in x.encode("utf-8", "surrogatepass")]
-            seen[i], ids[i] = drops.seen, array("i", out).tobytes()
-        return seen.tolist(), ids.tolist()
+            keep(np.array([i]), np.array([drops.seen]), np.array([len(out)]), np.array(out, np.int32))
+        return seen, Lists(starts, counts, np.concatenate([np.zeros(0, np.int32), *flat]))
 
     def _rows(self, chunks, size, width, first, keys):
         n = len(chunks)
@@ -306,9 +331,9 @@ class Cutter:
             after[r, k], before[r, k2] = k2, k
             agenda[r, k], joined[r, k] = self._find(new, part[r, k2])
             agenda[r, h], joined[r, h] = self._find(part[r, h], new)
-        return seen, self._spell(part, n)
+        return seen, *self._spell(part, n)
 
-    def _spell(self, part: np.ndarray, n: int) -> np.ndarray:
+    def _spell(self, part: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         row, col = np.nonzero(part != NONE)
         symbols = part[row, col]
         spelled, starts = self.m.spelled, self.m.ends
@@ -320,61 +345,65 @@ class Cutter:
             symbols[other] = len(starts) - 1 + which
             spelled = np.concatenate([spelled, np.array([b for x in bytes_of for b in x], np.int32)])
             starts = np.concatenate([starts, starts[-1] + np.cumsum([len(x) for x in bytes_of])])
-        count = starts[symbols + 1] - starts[symbols]
-        ends = np.cumsum(count)
-        flat = spelled[np.repeat(starts[symbols] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int32).tobytes()
-        each = np.cumsum(np.bincount(row, weights=count, minlength=n).astype(np.int64) * 4).tolist()
-        out = np.empty(n, object)
-        out[:] = [flat[a:z] for a, z in zip([0, *each], each, strict=False)]
-        return out
+        each = Lists(starts[symbols], starts[symbols + 1] - starts[symbols], spelled)
+        return np.bincount(row, weights=each.counts, minlength=n).astype(np.int64), each.laid()
+
 
+class Memory:
+    """What a chunk becomes when no merge is dropped: how many candidates come up, and the piece ids. It decides no draw.
 
-class Memory(dict):
-    """What a chunk becomes when no merge is dropped: how many candidates come up, and the packed piece ids. It decides no draw."""
+    The empty chunk stands for the sign that marks blanks in pieces, spelled in bytes.
+    """
 
     def __init__(self, cutter: Cutter, size: int = 500_000):
         self.cutter, self.size = cutter, size
+        self.clear()
 
-    def learn(self, chunks: set[str]) -> None:
-        if len(self) > self.size:
+    def clear(self) -> None:
+        mark = [self.cutter.p.byte[b] for b in MARK.encode()]
+        self.at, self.seen = {"": 0}, np.zeros(1, np.int64)
+        self.ids = Lists(np.zeros(1, np.int64), np.array([len(mark)]), np.array(mark, np.int32))
+
+    def places(self, chunks: list[str]) -> np.ndarray:
+        """Where each chunk is remembered; new ones are learnt."""
+        if len(self.at) > self.size or len(self.ids.flat) > 8 * self.size:
             self.clear()
-        new = list(chunks.difference(self))
-        seen, ids = self.cutter.cut(new, np.full(len(new), FAR), np.zeros(len(new), np.uint64))
-        self.update(zip(new, zip(seen, ids, strict=True), strict=True))
-
-    def forget_long(self, chunks: set[str]) -> None:
-        for c in chunks:
-            if len(c) > SHORT:
-                del self[c]
-
-
-def encode_texts(p: Pieces, texts: list[str], starts: list[int], memory: Memory, find) -> list[bytes]:
-    """Piece ids of texts, packed; each occurrence of a chunk draws anew, keyed by the text's start and its place."""
-    mark = array("i", [p.byte[b] for b in MARK.encode()]).tobytes()
-    parts = [[find(x.replace(" ", MARK)) for x in (" " + t).split(MARK)] if t else [] for t in texts]
-    chunks = [c for text in parts for x in text for c in x]
-    count = np.array([sum(map(len, text)) for text in parts], np.int64)
-    ids: list[bytes] = []
-    if chunks:
-        known = set(chunks)
-        memory.learn(known)
-        seen, ids = map(list, zip(*map(getitem, repeat(memory), chunks), strict=True))
-        memory.forget_long(known)
-        place = np.arange(1, len(chunks) + 1) - np.repeat(np.cumsum(count) - count, count)
-        keys = mix(place.astype(np.uint64) * np.uint64(GOLDEN) + np.repeat(np.array(starts, np.uint64), count))
-        first = waits(keys, memory.cutter.dropout)
-        hit = np.flatnonzero(first < np.array(seen))
-        at = hit.tolist()
-        for i, cut in zip(at, memory.cutter.cut([chunks[i] for i in at], first[hit], keys[hit])[1], strict=True):
-            ids[i] = cut
-    out, z = [], 0
-    for text in parts:
-        ends = [z, *accumulate(map(len, text), initial=z)][1:]
-        out.append(mark.join(b"".join(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)))
-        z = ends[-1]
+        new = list(set(chunks).difference(self.at))
+        if new:
+            seen, ids = self.cutter.cut(new, np.full(len(new), FAR), np.zeros(len(new), np.uint64))
+            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+            self.seen, self.ids = np.concatenate([self.seen, seen]), self.ids.followed_by(ids)
+        return np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
+
+
+def chunks_of(text: str, find) -> list[str]:
+    if MARK not in text:
+        return find(MARK + text.replace(" ", MARK)) if text else []
+    out: list[str] = []
+    for i, x in enumerate((" " + text).split(MARK)):
+        out += [""] * (i > 0) + find(x.replace(" ", MARK))
     return out
 
 
+def encode_texts(texts: list[str], starts: list[int], memory: Memory, find) -> tuple[np.ndarray, np.ndarray]:
+    """How many piece ids each text has, and all ids; each occurrence of a chunk draws anew, keyed by the text's start and its place."""
+    parts = [chunks_of(t, find) for t in texts]
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    chunks = list(chain.from_iterable(parts))
+    at = memory.places(chunks)
+    place = np.arange(1, len(chunks) + 1) - np.repeat(np.cumsum(size) - size, size)
+    keys = mix(place.astype(np.uint64) * np.uint64(GOLDEN) + np.repeat(np.array(starts, np.uint64), size))
+    first = waits(keys, memory.cutter.dropout)
+    hit = np.flatnonzero(first < memory.seen[at])
+    _, cut = memory.cutter.cut([chunks[i] for i in hit.tolist()], first[hit], keys[hit])
+    plain = memory.ids
+    ids = Lists(plain.starts[at], plain.counts[at], np.concatenate([plain.flat, cut.flat]))
+    ids.starts[hit], ids.counts[hit] = len(plain.flat) + cut.starts, cut.counts
+    before = np.cumsum(np.append(0, ids.counts))
+    ends = np.cumsum(size)
+    return before[ends] - before[ends - size], ids.laid()
+
+
 def encode(docs: DataFrame, pieces: Pieces, seed: int = 1, dropout: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text, ids)`` for every row of ``docs``.
 
@@ -393,11 +422,9 @@ def encode(docs: DataFrame, pieces: Pieces, seed: int = 1, dropout: float = 0.1,
         find = re.compile(pieces.cut).findall
         for b in batches:
             starts = [scramble((doc or 0) * GOLDEN + seed & ALL) for doc in b.column(0).to_pylist()]
-            out = encode_texts(pieces, [t or "" for t in b.column(1).to_pylist()], starts, memory, find)
-            ends = np.cumsum([0, *map(len, out)]) // 4
-            ids = pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(out), np.int32)), mask=b.column(1).is_null()
-            )
+            count, flat = encode_texts([t or "" for t in b.column(1).to_pylist()], starts, memory, find)
+            ends = np.append(0, np.cumsum(count))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=b.column(1).is_null())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids], names=["doc_id", "text", "ids"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
