@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.llm.store import pinned
+
 END = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -61,26 +63,41 @@ def _field(name: str) -> Column:
     return F.regexp_extract(F.col("header").cast("string"), f"\r\n{name}: ([^\r]*)\r\n", 1)
 
 
-def read_archive(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
-    """``(page_id, payload_bytes, payload_digest, record_type, refers_to, url)`` per record, with ``record`` if ``whole``.
-
-    Every payload is hashed again and must match its address, and the digest in a header must be that
-    of its payload; otherwise the job fails. ``record`` holds the exact bytes of the record:
-    the header, for a response the payload, and the closing line ends. Without it payloads
-    are read and verified but not shuffled.
-    """
+def _held(spark: SparkSession, folder: str) -> DataFrame:
+    """``(digest, payload, payload_bytes, payload_digest)``; a payload that does not match its address fails the job."""
     held = spark.read.parquet(f"{folder}/payloads")
     payload = F.when(F.unhex(F.sha2("payload", 256)) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.lit("a payload does not match its digest")))
     held = held.select("digest", payload.alias("payload"))
-    held = held.select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), *(["payload"] if whole else []))
-    found = spark.read.parquet(f"{folder}/records").join(held, "digest")
+    return held.select("digest", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
+
+
+def read_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """``(page_id, payload_bytes, payload_digest, record_type, refers_to, url, record)`` per record.
+
+    Every payload is hashed again and must match its address. ``record`` holds the exact bytes of
+    the record, rebuilt by a join: the header, for a response the payload, and the closing line ends. It is then read
+    as a reader of the file would: the content is as long as its header says and is followed by the closing
+    line ends alone, a response's content has the digest that the header states, and a revisit has no content and states
+    the digest of the payload it refers to; otherwise the job fails. Length and digest of
+    a response are those of the rebuilt content. An empty archive gives no rows.
+    """
+    found = pinned(
+        spark.read.parquet(f"{folder}/records").join(_held(spark, folder), "digest"),
+        _field("WARC-Type").alias("record_type"), _field("Content-Length").try_cast("long").alias("n"),
+    )
+    closing = F.lit(END + END).cast("binary")
+    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit("").cast("binary"))
+    found = pinned(found, F.concat("header", body, closing).alias("record"), F.octet_length("header").alias("at"))
+    content = F.col("record").substr(F.col("at") + 1, F.col("n").cast("int"))
+    rest = F.col("record").substr((F.col("at") + F.col("n") + 1).cast("int"), F.lit(1 << 30))
+    is_response = F.col("record_type") == "response"
+    found = pinned(found.drop("payload", "digest"), F.when(is_response, base32_sha1(content)).otherwise(F.col("payload_digest")).alias("sum"), F.when(is_response, F.octet_length(content).cast("long")).otherwise(F.col("payload_bytes")).alias("size"), rest.alias("rest"))
     number = lambda name: F.regexp_extract(_field(name), r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
-    stated = F.when(_field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest")), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header does not match its payload")))
-    body = F.when(_field("WARC-Type") == "response", F.col("payload")).otherwise(F.lit("").cast("binary")) if whole else None
+    whole = (F.col("rest") == closing) & (F.col("n") == F.when(is_response, F.col("payload_bytes")).otherwise(0)) & (_field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("sum")))
     return found.select(
-        number("WARC-Record-ID").alias("page_id"), "payload_bytes", stated.alias("payload_digest"),
-        _field("WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"), F.nullif(_field("WARC-Target-URI"), F.lit("")).alias("url"),
-        *([F.concat("header", body, F.lit(END + END).cast("binary")).alias("record")] if whole else []),
+        number("WARC-Record-ID").alias("page_id"), F.col("size").alias("payload_bytes"),
+        F.when(whole, F.col("sum")).otherwise(F.raise_error(F.lit("a record does not match its header"))).alias("payload_digest"),
+        "record_type", number("WARC-Refers-To").alias("refers_to"), F.nullif(_field("WARC-Target-URI"), F.lit("")).alias("url"), "record",
     )
 
 

@@ -4,6 +4,8 @@ import base64
 import hashlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from geoloom.llm import covertree, urlrules, warc
 from geoloom.llm.components import connected
@@ -27,7 +29,7 @@ def test_archive(spark, tmp_path):
         body = (html or "").encode()
         first = top[html or ""]
         want.append((i, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if i == first else "revisit", None if i == first else first))
-    got = warc.read_archive(spark, folder, whole=True)
+    got = warc.read_archive(spark, folder)
     assert key(got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()) == key(want)
     for r in got.collect():
         head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
@@ -42,6 +44,18 @@ def test_archive(spark, tmp_path):
     assert warc.read_archive(spark, f"{tmp_path}/none").count() == 0
 
 
+@pytest.mark.parametrize("old, new", [("Content-Length: 8", "Content-Length: 7"), ("sha1:", "sha1:A"), ("WARC-Type: response", "WARC-Type: revisit")])
+def test_records_that_do_not_fit_their_header_fail(spark, tmp_path, old, new):
+    pages = spark.createDataFrame([(1, "http://a/", "page one"), (2, "http://b/", "other text")], "page_id long, url string, html string")
+    warc.write_archive(pages, f"{tmp_path}/good")
+    spark.read.parquet(f"{tmp_path}/good/payloads").write.parquet(f"{tmp_path}/bad/payloads")
+    records = spark.read.parquet(f"{tmp_path}/good/records")
+    records.select("digest", F.replace(F.col("header").cast("string"), F.lit(old), F.lit(new)).cast("binary").alias("header")).write.parquet(f"{tmp_path}/bad/records")
+    assert warc.read_archive(spark, f"{tmp_path}/good").select("payload_digest").count() == 2
+    with pytest.raises(Exception, match="does not match its header"):
+        warc.read_archive(spark, f"{tmp_path}/bad").collect()
+
+
 def test_url_rules(spark):
     rules = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"), ("allow", "com/de/"), (None, "x/"), ("block", None)]
     urls = ["http://www.Example.ORG/en/12?x", "http://example.org/es/a", "https://a.com/de/", "https://a.com/DE/", "ftp://org", "nothing", None, "", "http://notexample.org/es/", "http://a.com/fr/#/de/", "http://xcom/de/", "http://ÉX.org/\nb", "http://b.com/de/://c.org/", "http://a.com/de/"]
