@@ -25,7 +25,7 @@ LOOSE = {
     "email": r"[A-Za-z0-9._%+-]{1,64}(?:@|\x20?[(\[]at[)\]]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]{1,3}(?:[.:-][0-9]{1,3}){3}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[\x20.-]?[0-9]){11,18}(?![0-9])",
-    "phone": r"(?<![0-9])[(]?[0-9]{3}[)]?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9])[(]?[0-9]{1,4}[)]?(?:[\x20.-]{1,2}[(]?[0-9]{2,4}[)]?){2,4}(?![0-9])",
 }
 #: A cheap test before the patterns of a kind.
 HINT = {"email": r"@|[(\[]at[)\]]", "ip": r"[0-9][.:-][0-9]", "card": r"[0-9][0-9\x20.-]{10}", "phone": r"[0-9]{4}|\+[0-9]"}
@@ -56,6 +56,12 @@ def _spans(text: Column, pattern: str, kind: str) -> Column:
     return F.when(text.rlike(HINT[kind]), walk).otherwise(F.expr("cast(array() as array<struct<kind:string,start:int,end:int,got:string>>)"))
 
 
+def _proposed(text: Column, kind: str) -> Column:
+    """The candidates of a kind; numbers of 9 to 15 digits only for phones."""
+    found = _spans(text, LOOSE[kind], kind)
+    return F.filter(found, lambda x: F.length(_digits(x["got"])).between(9, 15)) if kind == "phone" else found
+
+
 def _digits(got: Column) -> Column:
     return F.regexp_replace(got, "[^0-9]+", "")
 
@@ -98,11 +104,22 @@ def _step(value: Column, bounds: tuple[int, ...]) -> Column:
 
 #: Features of a candidate and the number of values each can take; their product bounds the
 #: rows that the driver sees in training.
-FEATURES = {"kind": 4, "digits": 6, "length": 5, "breaks": 4, "cue": 2, "left": 3, "right": 3}
+FEATURES = {"kind": 4, "digits": 6, "length": 5, "breaks": 4, "cue": 2, "left": 3, "right": 3, "sound": 2}
+
+
+def _sound(x: Column) -> Column:
+    """Whether a candidate, whatever its separators, reads as its kind: a domain that ends in letters, octets, a checksum, a last group of four."""
+    digits = _digits(x["got"])
+    return (
+        F.when(x["kind"] == "email", x["got"].rlike(r"(?:\.|dot[)\]]\x20?)[A-Za-z]{2,}$"))
+        .when(x["kind"] == "ip", F.regexp_replace(x["got"], "[:-]", ".").rlike(OCTETS))
+        .when(x["kind"] == "card", F.when(F.length(digits).between(13, 19), _luhn(digits)).otherwise(False))
+        .otherwise(x["got"].rlike("[0-9]{4}$"))
+    )
 
 
 def _features(x: Column, text: Column) -> list[Column]:
-    """Format and context of a candidate. What makes a base span valid (a plus, a checksum, the octets) is left out."""
+    """Format and context of a candidate; signs that only base spans have (a plus, an ``@``) are left out."""
     kind = F.coalesce(*(F.when(x["kind"] == k, F.lit(i)) for i, k in enumerate(KINDS)))
     breaks = F.length(F.regexp_replace(x["got"], "[A-Za-z0-9]+", ""))
     before = F.when(x["start"] > 0, text.substr(F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))).otherwise("")
@@ -110,28 +127,102 @@ def _features(x: Column, text: Column) -> list[Column]:
     side = lambda c: F.when(c.rlike("[A-Za-z0-9]"), 2).when(c.rlike(r"\S"), 1).otherwise(0)
     return [
         kind, _step(F.length(_digits(x["got"])), (1, 7, 10, 13, 16)), _step(F.length(x["got"]), (8, 12, 16, 24)),
-        _step(breaks, (1, 3, 5)), before.rlike(CUES).cast("int"), side(F.right(before, F.lit(1))), side(after),
+        _step(breaks, (1, 3, 5)), before.rlike(CUES).cast("int"), side(F.right(before, F.lit(1))), side(after), _sound(x).cast("int"),
     ]
 
 
+def _hidden(x: Column) -> Column:
+    """A base span as people write it to escape patterns: the ``@`` and dots spelled out, other separators, no plus."""
+    got, form = x["got"], F.pmod(F.xxhash64(x["got"]), F.lit(3))
+    pick = lambda *forms: F.when(form == 0, forms[0]).when(form == 1, forms[1]).otherwise(forms[2])
+    host = F.substring_index(got, "@", -1)
+    dots = pick(F.replace(host, F.lit("."), F.lit(" [dot] ")), F.replace(host, F.lit("."), F.lit("(dot)")), host)
+    bare, rest = F.substring(got, 2, 1 << 20), F.regexp_replace(got, r"^\+[0-9]+[\x20.-]*", "")
+    return (
+        F.when(x["kind"] == "email", F.concat(F.substring_index(got, "@", 1), pick(F.lit(" [at] "), F.lit("(at)"), F.lit(" [at] ")), dots))
+        .when(x["kind"] == "ip", F.replace(got, F.lit("."), pick(F.lit("-"), F.lit(":"), F.lit("-"))))
+        .when(x["kind"] == "card", F.regexp_replace(_digits(got), "([0-9]{4})(?=[0-9])", "$1."))
+        .otherwise(pick(bare, F.when(F.length(_digits(rest)) >= 9, rest).otherwise(bare), F.regexp_replace(F.regexp_replace(bare, r"[\x20().-]+", "."), r"^\.", "")))
+    )
+
+
+def _broken(x: Column) -> Column:
+    """A hidden span that is no longer valid: letters gone from the domain's end, an octet too large, a wrong check digit, a last group too short."""
+    new = x["new"]
+    last = ((F.right(new, F.lit(1)).cast("int") + 1) % 10).cast("string")
+    return (
+        F.when(x["kind"] == "email", F.regexp_replace(new, "[A-Za-z]+$", "42"))
+        .when(x["kind"] == "ip", F.regexp_replace(new, "^[0-9]+", "777"))
+        .when(x["kind"] == "card", F.concat(F.left(new, F.length(new) - 1), last))
+        .otherwise(F.left(new, F.length(new) - 1))
+    )
+
+
+def _rewritten(text: Column, base: Column) -> Column:
+    """``struct<text,spans>``: a text with its base spans hidden, and where they stand in it.
+
+    By a hash of the span, three in four are hidden whole (``good``) and one is broken. Of overlapping spans the first is hidden.
+    """
+    made = F.array_sort(F.transform(base, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["got"].alias("got"))))
+    made = F.transform(made, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), _hidden(x).alias("new"), (F.pmod(F.xxhash64(x["got"], F.lit("broken")), F.lit(4)) > 0).alias("good")))
+    made = F.transform(made, lambda x: x.withField("new", F.when(x["good"], x["new"]).otherwise(_broken(x))))
+    at = lambda a, x: a["n"] + x["start"] - a["pos"]
+    walk = F.aggregate(
+        made,
+        F.struct(F.lit(0).alias("pos"), F.lit(0).alias("n"), F.expr("cast(array() as array<string>)").alias("out"), F.expr("cast(array() as array<struct<kind:string,start:int,end:int,good:boolean>>)").alias("spans")),
+        lambda a, x: F.when(
+            x["start"] >= a["pos"],
+            F.struct(
+                x["end"].alias("pos"), (at(a, x) + F.length(x["new"])).alias("n"),
+                F.array_append(a["out"], F.concat(text.substr(a["pos"] + 1, x["start"] - a["pos"]), x["new"])).alias("out"),
+                F.array_append(a["spans"], F.struct(x["kind"].alias("kind"), at(a, x).alias("start"), (at(a, x) + F.length(x["new"])).alias("end"), x["good"].alias("good"))).alias("spans"),
+            ),
+        ).otherwise(a),
+        lambda a: F.struct(F.concat(F.array_join(a["out"], ""), text.substr(a["pos"] + 1, F.length(text))).alias("text"), a["spans"].alias("spans")),
+    )
+    return F.when(F.size(base) > 0, walk)
+
+
+def _rated(found: Column, text: Column, **more) -> Column:
+    """Candidates with their features and what ``more`` tells of each."""
+    return F.transform(
+        found,
+        lambda x: F.struct(
+            x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.array(*_features(x, text)).alias("f"),
+            *(tell(x).alias(name) for name, tell in more.items()),
+        ),
+    )
+
+
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``(row, text, base, loose)``: each row with its base spans and the candidates of all generators with their features."""
     df = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    df = pinned(df, *(_spans(F.col("text"), STRICT[k], k).alias(f"s_{k}") for k in KINDS), *(_spans(F.col("text"), LOOSE[k], k).alias(f"l_{k}") for k in KINDS))
+    df = pinned(df, *(_spans(F.col("text"), STRICT[k], k).alias(f"s_{k}") for k in KINDS), *(_proposed(F.col("text"), k).alias(f"l_{k}") for k in KINDS))
     base = F.concat(*(F.filter(f"s_{k}", _valid(k)) for k in KINDS))
     df = pinned(df, base.alias("base"), F.concat(*(F.col(f"l_{k}") for k in KINDS)).alias("found"))
-    rated = F.transform(
-        "found",
-        lambda x: F.struct(
-            x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"),
-            F.array(*_features(x, F.col("text"))).alias("f"),
-            F.exists("base", lambda b: _overlap(x, b) & (b["kind"] == x["kind"])).alias("known"),
-            F.exists("base", lambda b: _overlap(x, b)).alias("taken"),
-        ),
-    )
+    rated = _rated(F.col("found"), F.col("text"), taken=lambda x: F.exists("base", lambda b: _overlap(x, b)))
     return pinned(df.select("row", "text", "base", "found"), F.when(F.size("found") > 0, rated).alias("loose")).drop("found")
 
 
+def examples(found: DataFrame) -> DataFrame:
+    """``(row, f, good, open)`` to learn from, for the rows of ``candidates``.
+
+    Good are candidates over known spans rewritten so that no base pattern
+    holds; over a broken span, or one of another kind, a candidate is bad. Candidates in the text as it is that
+    touch no base span are open: nobody knows what they are.
+    """
+    df = pinned(found.select("row", "text", "base", "loose"), _rewritten(F.col("text"), F.col("base")).alias("w")).drop("text")
+    df = pinned(df, *(F.when(F.col("w").isNotNull(), _proposed(F.col("w.text"), k)).alias(f"h_{k}") for k in KINDS))
+    near = F.filter(F.concat(*(F.col(f"h_{k}") for k in KINDS)), lambda x: F.exists("w.spans", lambda b: _overlap(x, b)))
+    df = pinned(df, near.alias("near"))
+    hidden = _rated(F.col("near"), F.col("w.text"), good=lambda x: F.exists("w.spans", lambda b: _overlap(x, b) & (b["kind"] == x["kind"]) & b["good"]))
+    df = pinned(df, hidden.alias("hidden"), F.filter("loose", lambda x: ~x["taken"]).alias("rest"))
+    none = F.expr("cast(array() as array<struct<f:array<int>,good:boolean,open:boolean>>)")
+    told = lambda name, good, unknown: F.coalesce(F.transform(name, lambda x: F.struct(x["f"].alias("f"), good(x).alias("good"), F.lit(unknown).alias("open"))), none)
+    every = F.concat(told("hidden", lambda x: x["good"], False), told("rest", lambda x: F.lit(False), True))
+    return df.select("row", F.inline(every))
+
+
 @dataclass
 class Trees:
     """Boosted regression trees of depth two over small whole-number features, and a threshold for each kind."""
@@ -191,25 +282,27 @@ def boost(cells: list[tuple[tuple, int, int]], rounds: int = 12, rate: float = 0
     return model
 
 
-def train(found: DataFrame, id_col: str = "doc_id", precision: float = 0.98, least: int = 50) -> Trees:
-    """Trees learned from all candidates: one that covers a base span of its kind is a positive.
+def train(found: DataFrame, id_col: str = "doc_id", precision: float = 0.98, crowd: float = 1.0, least: int = 20) -> Trees:
+    """Trees learned from all ``examples``, good ones against bad and open ones.
 
     Candidates are counted by feature values, at most ``prod(FEATURES.values())`` cells, and
     only the cells reach the driver. Documents in one fifth of the ids set the thresholds: per
-    kind the lowest value whose candidates there have the wanted precision, over at least
-    ``least`` of them; without such a value nothing of the kind is added.
+    kind the lowest value at which, of what passes there, at least ``least`` are good, good ones are ``precision`` of
+    the good and bad ones, and open ones are at most ``crowd`` times the good ones: data outside the base patterns is believed
+    up to the frequency of known spans, beyond it candidates are look-alikes. Without such a value nothing of the kind is added.
     """
     fold = (F.pmod(F.xxhash64(f"row.{id_col}"), F.lit(5)) == 0).alias("held")
-    seen = found.where(F.col("loose").isNotNull()).select(fold, F.explode("loose").alias("x"))
-    rows = seen.groupBy("held", F.col("x.f").alias("f")).agg(F.count("*").alias("n"), F.sum(F.col("x.known").cast("long")).alias("good")).collect()
+    count = lambda c: F.sum(F.col(c).cast("long")).alias(c)
+    rows = examples(found).select(fold, "f", "good", "open").groupBy("held", "f").agg(F.count("*").alias("n"), count("good"), count("open")).collect()
     cells = sorted((tuple(r["f"]), r["n"], r["good"]) for r in rows if not r["held"])
     model = boost(cells) if cells else Trees()
     for i, kind in enumerate(KINDS):
-        held = sorted(((model.value(tuple(r["f"])), r["n"], r["good"]) for r in rows if r["held"] and r["f"][0] == i), reverse=True)
-        n = good = 0
-        for k, (value, more, ok) in enumerate(held):
-            n, good = n + more, good + ok
-            if (k + 1 == len(held) or held[k + 1][0] < value) and n >= least and good >= precision * n:
+        held = sorted(((model.value(tuple(r["f"])), r["n"], r["good"], r["open"]) for r in rows if r["held"] and r["f"][0] == i), reverse=True)
+        n = good = unknown = 0
+        for k, (value, more, ok, new) in enumerate(held):
+            n, good, unknown = n + more, good + ok, unknown + new
+            enough = good >= least and good >= precision * (n - unknown) and unknown <= crowd * good
+            if enough and (k + 1 == len(held) or held[k + 1][0] < value):
                 model.limits[kind] = value
     return model
 
