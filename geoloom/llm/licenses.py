@@ -1,7 +1,9 @@
-"""Licence scan: phrases, and templates found by their key phrases and the places of their words."""
+"""Licence scan: phrases, and templates found by the places of their rarest words and proven by key phrases."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,19 +85,34 @@ def _postings(spark: SparkSession, templates) -> DataFrame:
     return spark.sql(f"SELECT k AS template, tpos, word FROM VALUES {rows} AS t(k, text) LATERAL VIEW posexplode(split(text, ' ')) AS tpos, word")
 
 
-def scan_licenses(docs: DataFrame, text_col: str = "text", templates=TEMPLATES, slack: int = 16, votes: int = 4) -> DataFrame:
+def _ranked(templates, weight: dict[str, int]) -> Column:
+    """A constant: for each template its number, its words from the rarest on, and the words that its key phrases need."""
+    texts = lambda words: F.array(*map(F.lit, words))
+    return F.array(*(
+        F.struct(
+            F.lit(k).alias("template"),
+            texts(sorted(set(text.split()), key=lambda w: (-weight.get(w, 0), w))).alias("ranked"),
+            texts(sorted(set(" ".join(need).split()))).alias("must"),
+        )
+        for k, (_, need, text) in enumerate(templates)
+    ))
+
+
+def scan_licenses(docs: DataFrame, text_col: str = "text", templates=TEMPLATES, slack: int = 16, top: int = 8, votes: int = 4) -> DataFrame:
     """``(row, n_words, n_base, first_word, last_word, base_labels, labels, score)`` for each row of ``docs``.
 
-    Base labels come from places where the words of a phrase stand side by side. For the
-    rest, each template whose key phrases all stand in a text is looked up there: its words, at every
-    place they have, meet its postings and vote for where the template would start
-    (in windows of ``2 * slack`` words that overlap by half). A template counts with ``votes`` different places of
-    it. So a label depends on its text alone. The score is 1 with a base label, else the
-    best share of the template's words in the text that stand in place, else 0; there words weigh by their
-    rarity in the corpus, in millionths, so that sums are exact.
+    Base labels come from places where the words of a phrase stand side by side. The others
+    come from an index of the templates' words by place. Of each template, the ``top`` words of highest IDF
+    among those that the text holds are looked up, so neither a word's share of the corpus nor other licences in the text
+    can push a template out; a template whose key phrases lack a word in the text is not looked up, as it
+    can't be proven. At every place they have, these words meet the postings and vote for where the template would start
+    (in windows of ``2 * slack`` words that overlap by half). A template with ``votes`` different places of
+    it in one window counts if all its key phrases stand in the text. The score is 1 with a base label, else the
+    best share of a template's words looked up that stand in place, else 0; there words weigh by their
+    IDF, in millionths, so that sums are exact.
 
     Texts are read and not shuffled; their digests stand for them, and windows are counted in the task that reads a text.
-    A null text counts as empty and has no words; the columns of the input stay inside
+    What reaches the driver is the IDF of the templates' words. A null text counts as empty and has no words; the columns of the input stay inside
     ``row``; repeated rows give equal results; an empty table gives no rows.
     """
     lower = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
@@ -105,23 +122,29 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates=TEMPLATES,
 
     # pass one: in how many texts each template word stands
     postings = _postings(docs.sparkSession, templates)
-    vocabulary = if_small(postings.select("word").distinct(), 100_000)
-    total = F.lit(df.count())
-    seen = df.where("norm <> ''").select(F.explode(F.array_distinct(words)).alias("word")).join(vocabulary, "word").groupBy("word").agg(F.count("*").alias("n"))
-    weight = staged(seen.select("word", F.ceil(F.log((total + 1) / F.col("n")) * 1_000_000).alias("weight")), "weight")
-
-    # pass two: places of the templates whose key phrases stand in a text
-    wanted = F.array_compact(F.array(*(F.when(F.forall(F.array(*map(_has, need)), lambda b: b), k) for k, (_, need, _) in enumerate(templates))))
-    asked = pinned(df.select("norm", "digest"), wanted.alias("wanted")).where(F.size("wanted") > 0)
-    met = asked.select("digest", "wanted", F.posexplode(words).alias("pos", "word")).join(if_small(postings, 1_000_000), "word").where(F.array_contains("wanted", F.col("template")))
+    vocabulary = F.array(*map(F.lit, sorted({w for _, need, text in templates for w in f"{' '.join(need)} {text}".split()})))
+    total = docs.count()
+    seen = df.where("norm <> ''").select(F.explode(F.array_intersect(vocabulary, words)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    weight = {r["word"]: math.ceil(math.log((total + 1) / r["n"]) * 1_000_000) for r in seen.collect()}
+
+    # pass two: the rarest words of each template in a text, their places, then the proof
+    held = pinned(df.where("norm <> ''").select("norm", "digest"), F.array_intersect(vocabulary, words).alias("held"))
+    open_to = F.filter(_ranked(templates, weight), lambda t: F.size(F.array_except(t["must"], "held")) == 0)
+    held = pinned(held, F.transform(open_to, lambda t: F.struct(t["template"], F.slice(F.array_intersect(t["ranked"], "held"), 1, top).alias("picked"))).alias("asked"))
+    phrases = F.array(*(F.array(*map(F.lit, need)) for _, need, _ in templates))
+    proof = lambda t: F.forall(F.get(phrases, t["template"]), lambda p: F.contains("norm", F.concat(F.lit(" "), p, F.lit(" "))))
+    held = pinned(held.where(F.size("asked") > 0), F.transform("asked", lambda t: F.struct(t["template"], t["picked"], proof(t).alias("proven"))).alias("lookups")).drop("asked", "held")
+    spots = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda x: F.exists("lookups", lambda t: F.array_contains(t["picked"], x["word"])))
+    spots = held.select("digest", "lookups", F.inline(spots))
+    met = spots.select("digest", "word", "pos", F.inline("lookups")).where(F.array_contains("picked", F.col("word"))).join(if_small(postings, 1_000_000), ["template", "word"])
     start = F.floor((F.col("pos") - F.col("tpos")) / slack)
-    met = met.select("digest", "template", "tpos", F.explode(F.array(start, start + 1)).alias("start"))
-    windows = staged(met.groupBy("digest", "template", "start").agg(F.collect_set("tpos").alias("places")), "windows")
-    spelled = windows.select("digest", "template", "start", F.size("places").alias("places"), F.explode("places").alias("tpos")).join(if_small(postings.join(weight, "word"), 1_000_000), ["template", "tpos"])
-    whole = spelled.select("digest", "template", "word", "weight").distinct().groupBy("digest", "template").agg(F.sum("weight").alias("whole"))
-    placed = spelled.where(F.col("places") >= votes).select("digest", "template", "start", "word", "weight").distinct().groupBy("digest", "template", "start").agg(F.sum("weight").alias("n"))
-    placed = placed.groupBy("digest", "template").agg(F.max("n").alias("n"))
-    found = placed.join(whole, ["digest", "template"]).groupBy("digest").agg(F.sort_array(F.collect_set(F.struct("template", (F.col("n") / F.col("whole")).alias("share")))).alias("found"))
+    met = met.select("digest", "template", "tpos", "word", "picked", "proven", F.explode(F.array(start, start + 1)).alias("start"))
+    windows = met.groupBy("digest", "template", "start").agg(F.collect_set("tpos").alias("places"), F.collect_set("word").alias("placed"), F.first("picked").alias("picked"), F.first("proven").alias("proven"))
+    voted = windows.where((F.size("places") >= votes) & F.col("proven"))
+    weights = F.create_map(*(F.lit(x) for w in sorted(weight) for x in (w, weight[w]))) if weight else F.expr("cast(map() as map<string,int>)")
+    heavy = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, w: a + F.coalesce(F.try_element_at(weights, w), F.lit(0)))
+    shares = voted.select("digest", "template", (heavy("placed") / heavy("picked")).alias("share")).groupBy("digest", "template").agg(F.max("share").alias("share"))
+    found = staged(shares.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("template", "share"))).alias("found")), "licences")
 
     places = {p: F.split("norm", f" {p}(?= )", -1) for p in PHRASES}
     made = [F.when(_has(p), F.struct((F.size(x) - 1).alias("n"), _spaces(F.get(x, F.lit(0))).alias("first"), (_spaces(F.col("norm")) - 1 - (_spaces(F.element_at(x, -1)) - 1) - len(p.split())).alias("last"))).alias(f"p{k}") for k, (p, x) in enumerate(places.items())]

@@ -141,8 +141,41 @@ def test_pii(docs):
     assert clean[4] is None and clean[5] == "" and "10.0.0.7" not in clean[12] and clean[12].startswith("ñ [IP] é 1.2.3.400 [PHONE] x [CARD] a@@[EMAIL]")
 
 
+def luhn_number(r):
+    head = "4" + "".join(str(r.randrange(10)) for _ in range(14))
+    return next(head + str(d) for d in range(10) if valid("card", head + str(d)))
+
+
+def test_pii_beyond_the_base_patterns(spark):
+    """Planted data that no base pattern matches is found; look-alikes stay."""
+    r = random.Random(5)
+    n = lambda k: "".join(str(r.randrange(10)) for _ in range(k))
+    octets = lambda c: c.join(str(r.randrange(1, 256)) for _ in range(4))
+    name = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    rows, planted, decoys = [], {}, set()
+    for i in range(4000):
+        known = [f"{name()}@{name()}.com", octets("."), luhn_number(r), f"+1 ({n(3)}) 555-{n(4)}"][i % 4]
+        rows.append((i, f"some words {known} and more {n(2)} of them {2000 + i % 20} 10 12"))
+    for i in range(4000, 4400):
+        card = luhn_number(r)
+        new = [f"{name()} [at] {name()} [dot] com", octets("-"), ".".join(card[k : k + 4] for k in range(0, 16, 4)), f"({n(3)}) 555-{n(4)}"][i % 4]
+        planted[i] = (pii.KINDS[i % 4], new)
+        rows.append((i, f"some words {new} and more"))
+    for i in range(4400, 4800):
+        bad = [f"{name()} [at] {name()}", "-".join(str(r.randrange(300, 999)) for _ in range(4)), "4111.1111.1111.1112", f"{n(3)} {n(3)} {n(3)}"][i % 4]
+        decoys.add(i)
+        rows.append((i, f"some words {bad} and more"))
+    got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "row.text", "base", "spans").collect()
+    added = {(x.doc_id, s.kind, x.text[s.start : s.end]) for x in got for s in x.spans if (s.kind, s.start, s.end) not in [(b.kind, b.start, b.end) for b in x.base]}
+    right = {(i, *p) for i, p in planted.items()}
+    assert len(added & right) >= 0.9 * len(right)
+    for kind in pii.KINDS:
+        assert any(k == kind for _, k, _ in added & right)
+    assert len(added & right) >= 0.98 * len(added) and not {i for i, _, _ in added} & decoys
+
+
 def test_trees_learn_a_feature():
-    cells = [((0, d, 1, 1, c, 0, 0), 50, 45 if d >= 3 else 2) for d in range(6) for c in range(2)]
+    cells = [((0, d, 1, 1, c, 0, 0, 0), 50, 45 if d >= 3 else 2) for d in range(6) for c in range(2)]
     model = pii.boost(cells)
     assert min(model.value(c[0]) for c in cells if c[0][1] >= 3) > 1 > -1 > max(model.value(c[0]) for c in cells if c[0][1] < 3)
 
@@ -164,6 +197,56 @@ def test_templates_without_their_name(spark):
     assert [(r[0], r[1], r[2]) for r in found] == [(999, "", "bsd")] and 0 < found[0][3] <= 1
 
 
+def test_templates_against_brute_force(spark):
+    """Texts made of cut, changed and shuffled templates: the labels are those of a plain search for rare words in place."""
+    r = random.Random(11)
+    rows = []
+    for i in range(300):
+        parts = []
+        for _ in range(r.randrange(3)):
+            words = r.choice(licenses.TEMPLATES)[2].split()
+            how = r.randrange(4)
+            if how == 1:
+                words = words[r.randrange(len(words)) :]
+            elif how == 2:
+                words = [w if r.random() > 0.1 else "changed" for w in words]
+            elif how == 3:
+                r.shuffle(words)
+            parts += [f"filler{r.randrange(40)} the of software"] * r.randrange(4) + [" ".join(words)]
+        rows.append((i, " ".join(parts) or None))
+    texts = {i: (t or "").split() for i, t in rows}
+    df = Counter(w for t in texts.values() for w in set(t))
+
+    def search(words):
+        out = {}
+        for label, need, template in licenses.TEMPLATES:
+            tw = template.split()
+            picked = sorted(set(tw) & set(words), key=lambda w: (-math.ceil(math.log(301 / df[w]) * 1_000_000), w))[:8]
+            windows = {}
+            for pos, w in enumerate(words):
+                for tpos, x in enumerate(tw):
+                    if w == x and w in picked:
+                        start = (pos - tpos) // 16
+                        for s in (start, start + 1):
+                            windows.setdefault(s, set()).add(tpos)
+            best = [places for places in windows.values() if len(places) >= 4]
+            if best and all(f" {p} " in f" {' '.join(words)} " for p in need):
+                weight = lambda ws: sum(math.ceil(math.log(301 / df[w]) * 1_000_000) for w in ws)
+                out[label] = max(weight({tw[p] for p in places}) for places in best) / weight(picked)
+        return out
+
+    for x in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "base_labels", "labels", "score").collect():
+        want = search(texts[x.doc_id])
+        assert x.labels == ",".join(sorted(set(want) | set(filter(None, x.base_labels.split(",")))))
+        if not x.base_labels:
+            assert abs(x.score - max(want.values(), default=0)) < 1e-12
+
+
+def test_licenses_of_empty_tables(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, digest string, norm string")
+    assert licenses.scan_licenses(empty).count() == 0 and pii.find_pii(empty).count() == 0
+
+
 def test_templates_whatever_their_share(spark):
     """A text that most rows carry, a table of three rows, and a file of all licences keep their labels."""
     mit, notice = licenses.TEMPLATES[0][2], " and ".join(t for _, _, t in licenses.TEMPLATES)
