@@ -1,9 +1,18 @@
 """Steps whose tables must grow with the rows, not with the pairs or with wrong guesses of size."""
 
+import math
+
 from pyspark.sql import functions as F
 
+from geoloom.operators import quality as Q
 from geoloom.session import tune
 
+POINT = "x double, y double, utm_zone int, lat double, lng double"
+
+
+def at(x, y):
+    return (500000.0 + x, 5500000.0 + y, 32, 49.65 + y / 111200, 9.0 + x / 72200)
+
 
 def test_small_files_that_grow_are_not_broadcast(spark, tmp_path):
     """A key of a few bytes that becomes many rows: its file says little of its size."""
@@ -12,3 +21,23 @@ def test_small_files_that_grow_are_not_broadcast(spark, tmp_path):
     grown = keys.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(50))))
     plan = grown.join(grown.withColumnRenamed("i", "j"), "id")._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+def agreement(rows):
+    out = []
+    for place, seq, x, y, *_ in rows:
+        d = [math.hypot(x - r[2], y - r[3]) for r in rows if r[0] == place]
+        out.append((place, seq, 8 * (sum(m <= 3000 for m in d) - 1) - 12 * sum(m > 25000 for m in d)))
+    return sorted(out)
+
+
+def test_center_agreement_few_and_many_spots(spark, monkeypatch):
+    rows = [(1, i, *at(i * 2500.0, 0.0)) for i in range(12)] + [(1, 90, *at(0.0, 0.0))]
+    rows += [(2, i, *at(i % 20 * 1700.0, i // 20 * 1300.0)) for i in range(60)]
+    centers = spark.createDataFrame(rows, "place_id int, seq int, " + POINT)
+    monkeypatch.setattr(Q, "FEW_SPOTS", 20, raising=False)
+    assert sorted(tuple(r) for r in Q.center_agreement(centers).collect()) == agreement(rows)
+    # few spots are not repeated over a grid
+    monkeypatch.setattr(Q, "near_pairs", None)
+    first = centers.filter("place_id = 1")
+    assert sorted(tuple(r) for r in Q.center_agreement(first).collect()) == agreement(rows[:13])
