@@ -4,6 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from geoloom.operators import matching as M
 from geoloom.operators import quality as Q
 from geoloom.session import tune
 
@@ -41,3 +42,31 @@ def test_center_agreement_few_and_many_spots(spark, monkeypatch):
     monkeypatch.setattr(Q, "near_pairs", None)
     first = centers.filter("place_id = 1")
     assert sorted(tuple(r) for r in Q.center_agreement(first).collect()) == agreement(rows[:13])
+
+
+def test_pairs_of_namesakes_are_never_kept(spark, monkeypatch):
+    cols = "place_id int, name string, place string, region string, district string, osm_type string, osm_id int, " + POINT
+    held = [(i, "ab", ("town", "village")[i % 2], "", "", "node", 0, *at(i % 8 * 900.0, i // 8 * 900.0)) for i in range(40)]
+    held += [(100, "ab", "town", "", "", "node", 0, *at(0.0, 0.0)), (101, "cd", "city", "", "", "node", 0, *at(1000.0, 0.0)), (102, "cd", "hamlet", "", "", "node", 0, *at(1700.0, 0.0))]
+    new = [(i, "AB", ("town", "hamlet")[i % 2], "", "", "node", 0, *at(i * 150.0, i * 90.0)) for i in range(40)]
+    new += [(50, "cd", "", "", "", "node", 0, *at(1000.0, 10.0)), (51, "cd", "town", "", "", "node", 0, *at(1340.0, 0.0)), (52, "cd", "town", "", "", "node", 0, *at(300.0, 0.0)), (0, *new[0][1:])]
+    kept = []
+
+    def recorded(df):
+        kept.append(df.count())
+        return df
+
+    monkeypatch.setattr(M, "cut_lineage", recorded)
+    h, n = spark.createDataFrame(held, cols), spark.createDataFrame(new, cols)
+    got = M.match_nearest_unambiguous(n, M.place_names(n), h, M.place_names(h))
+    limit = {"city": 8000, "town": 5000, "village": 2500, "hamlet": 1500}
+    wanted = []
+    for i, name, place, *_, x, y, _, _, _ in dict.fromkeys(new):
+        pool = [(math.hypot(x - r[7], y - r[8]), r[0], r[2]) for r in held if r[1] == name.lower()]
+        if any(c == place for _, _, c in pool):
+            pool = [p for p in pool if p[2] == place]
+        pool.sort()
+        if pool[0][0] <= limit.get(place, 800) and (len(pool) == 1 or pool[0][0] <= 250 or pool[1][0] - pool[0][0] >= 500):
+            wanted.append((i, pool[0][1]))
+    assert sorted({(r["incoming_id"], r["place_id"]) for r in got.collect()}) == sorted(wanted)
+    assert max(kept) <= 50
