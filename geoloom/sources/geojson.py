@@ -97,6 +97,8 @@ def project_rings(df: DataFrame, keep: list[str], outer: str = "outer", holes: s
     d = df.select(*keep, utm_zone(first["x"]).alias("__zone"), F.posexplode(rings).alias("__ring", "__vs"))
     d = d.select(*keep, "__zone", "__ring", F.posexplode("__vs").alias("__seq", "__v"))
     d = d.withColumns({"__lng": F.col("__v.x"), "__lat": F.col("__v.y")}).drop("__v")
+    # dealt by polygon once: its rings, then the polygon are gathered where they lie
+    d = d.repartition(*[F.col(c) for c in keep])
     d = with_utm(d, F.col("__zone"), "__lat", "__lng", "x", "y", "utm_zone", "__band")
     ring = d.groupBy(*keep, "utm_zone", "__ring").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("__seq", "x", "y"))), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("__vs")

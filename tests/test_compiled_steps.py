@@ -6,8 +6,10 @@ import random
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from geoloom.catalog import sources
 from geoloom.functions import rings as G
 from geoloom.operators import spatial as S
+from geoloom.sources import geojson
 
 RINGS = f"place_id int, utm_zone int, outer {G.RING}, holes array<{G.RING}>"
 
@@ -64,3 +66,18 @@ def test_least_polygon_of_a_point_needs_no_sort_of_pairs(spark, monkeypatch):
     assert not any("SortAggregate(key=[point_id" in p for p in plans)
     tied = shapes.withColumn("outer", F.first("outer").over(W.partitionBy("utm_zone").orderBy("place_id")))
     assert [tuple(r) for r in S.locate_points(points, tied, none).collect()] == [(7, 2, 0.0, True)]
+
+
+def test_rows_that_become_documents_are_dealt_over_tasks(spark, tmp_path):
+    spark.range(1, 25_001).coalesce(1).selectExpr("id AS p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    docs = sources.geojson_docs(spark, str(tmp_path))
+    sizes = docs.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 3 and max(r["count"] for r in sizes) < 12_500
+    assert docs.count() == 25_000
+
+
+def test_rings_of_a_polygon_are_gathered_in_one_shuffle(spark):
+    rows = [(k, square(6.0 + k / 100, 49.0, 0.02), [square(6.0 + k / 100, 49.0, 0.005)]) for k in range(3)]
+    d = geojson.project_rings(spark.createDataFrame(rows, f"k int, outer {G.RING}, holes array<{G.RING}>"), ["k"])
+    assert d._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted((r.k, len(r.outer), len(r.holes), r.utm_zone) for r in d.collect()) == [(0, 4, 1, 31), (1, 4, 1, 31), (2, 4, 1, 32)]
