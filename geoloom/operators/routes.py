@@ -63,10 +63,8 @@ def encode_polylines(
     s = df.withColumns({"__la": polyline.scaled(lat), "__ln": polyline.scaled(lng)})
     s = with_previous(s, [route], list(order), ["__la", "__ln"], "__p", bucket)
     zero = F.lit(0).cast("bigint")
-    piece = F.concat(
-        polyline.encode_delta(F.col("__la") - F.coalesce("__p__la", zero)),
-        polyline.encode_delta(F.col("__ln") - F.coalesce("__p__ln", zero)),
-    )
+    s = s.withColumns({f"__z{c}": polyline.zigzag(F.col(f"__{c}") - F.coalesce(f"__p__{c}", zero)) for c in ("la", "ln")})
+    piece = F.concat(polyline.encode_step("__zla"), polyline.encode_step("__zln"))
     at = F.struct(*[F.col(c) for c in order])
     g = s.groupBy(route).agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), piece.alias("piece")))).alias("__p"))
     return g.select(route, F.array_join(F.transform("__p", lambda x: x["piece"]), "").alias("polyline"))

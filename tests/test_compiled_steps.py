@@ -6,7 +6,8 @@ import random
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from geoloom.catalog import sources
+from geoloom.catalog import responses, sources
+from geoloom.functions import polyline
 from geoloom.functions import rings as G
 from geoloom.operators import spatial as S
 from geoloom.sources import geojson
@@ -81,3 +82,24 @@ def test_rings_of_a_polygon_are_gathered_in_one_shuffle(spark):
     d = geojson.project_rings(spark.createDataFrame(rows, f"k int, outer {G.RING}, holes array<{G.RING}>"), ["k"])
     assert d._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert sorted((r.k, len(r.outer), len(r.holes), r.utm_zone) for r in d.collect()) == [(0, 4, 1, 31), (1, 4, 1, 31), (2, 4, 1, 32)]
+
+
+def test_steps_of_a_line_are_written_without_a_loop(spark):
+    steps = [0, 1, -1, 15, 16, -17, 31, 32, 1023, -1024, 36_000_000, -36_000_000, (1 << 29) - 1, 1 << 29, -(1 << 40), (1 << 61), None]
+
+    def text(v):
+        z = -2 * v - 1 if v < 0 else 2 * v
+        out = ""
+        while z >= 32:
+            out, z = out + chr(z % 32 + 95), z >> 5
+        return out + chr(z + 63)
+
+    d = spark.createDataFrame([(v,) for v in steps], "v bigint").withColumn("z", polyline.zigzag(F.col("v"))).withColumn("t", polyline.encode_step("z"))
+    assert [r.t for r in d.collect()] == [None if v is None else text(v) for v in steps]
+    assert "lambda" not in d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_vertices_of_directions_are_shuffled(spark, small):
+    plan = responses.direction_responses(spark, small)._jdf.queryExecution().executedPlan().toString()
+    gathered = [line for line in plan.splitlines() if "ObjectHashAggregate" in line or "Exchange" in line]
+    assert gathered and not any("html_instructions" in line or "turn " in line for line in gathered)
