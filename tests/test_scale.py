@@ -4,7 +4,6 @@ import math
 import random
 
 import pytest
-
 from pyspark.sql import functions as F
 
 from geoloom import points as P
@@ -93,6 +92,37 @@ def test_nearest_place_in_any_zone(spark, places, point, want):
     assert [(r.point_id, r.place_id, r.inside) for r in got] == [(5, want, False)]
 
 
+@pytest.mark.parametrize("limit", [None, 40.0])
+def test_long_segments_are_searched_without_all_their_cells(spark, monkeypatch, limit):
+    rnd = random.Random(3)
+    spans = [(rnd.uniform(0, 9e4), rnd.uniform(0, 9e4), 10 ** rnd.uniform(4 * (i % 5 > 0), 5), rnd.uniform(0, 6.3)) for i in range(900)]
+    segs = [(i, i % 2, x, y, x + m * math.cos(t), y + m * math.sin(t)) for i, (x, y, m, t) in enumerate(spans)]
+    segs += [(900, 0, *segs[0][2:]), (901, 1, 5.0, 5.0, 5.0, 5.0), (902, 0, 7.0, 0.0, 7.0, 9e4), (903, 1, 0.0, 7.0, 9e4, 7.0)]
+    spots = [(i, z, rnd.uniform(-2e4, 9e4), rnd.uniform(0, 9e4)) for i in range(120) for z in {0, i % 2}]
+    spots += [(200, 0, segs[0][2], segs[0][3]), (201, 0, segs[0][2], segs[0][3]), (202, 1, 6e5, -3e5), (203, 0, 8e4, math.inf), (204, 7, 1.0, 1.0)]
+    p = spark.createDataFrame(spots, "point_id long, zone int, x double, y double")
+    s = spark.createDataFrame(segs, "sid long, zone int, ax double, ay double, bx double, by double")
+
+    def metres(p, s):
+        (px, py), (ax, ay, bx, by) = p[2:], s[2:]
+        dx, dy = bx - ax, by - ay
+        t = min(max(((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy), 0), 1) if dx * dx + dy * dy > 1e-4 else 0
+        return math.hypot(px - ax - t * dx, py - ay - t * dy)
+
+    want: dict = {}
+    for q in spots:
+        for t in segs:
+            if q[1] == t[1] and math.isfinite(q[3]) and (limit is None or metres(q, t) <= limit):
+                want[q[0]] = min(want.get(q[0], (math.inf, 0)), (round(metres(q, t), 6), t[0]))
+    monkeypatch.setattr(S, "MAX_DISC_ROWS", 50)  # several broadcasts
+    covers = []
+    cells = S.with_segment_cells
+    monkeypatch.setattr(S, "with_segment_cells", lambda df, *a: covers.append(df.count()) or cells(df, *a))
+    got = S.nearest_segments(p, s, "point_id", ["sid"], ["zone"], max_distance=limit, cover_rows=0).collect()
+    assert {r.point_id: (round(r.distance_m, 6), r.sid) for r in got} == want
+    assert covers[-1] == 903 and covers[0] < 200  # all distinct segments, after a few
+
+
 def test_polygons_of_all_sizes(spark):
     from geoloom.functions import rings as G
 
