@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,12 +65,17 @@ def stream_track_legs(fixes: DataFrame, lateness: str = "10 minutes", axis: floa
     )
 
 
+HELD = pa.schema([("session", pa.int64()), ("nameless", pa.bool_()), ("micros", pa.int64()), ("event_id", pa.int64()), ("lat", pa.float64()), ("lng", pa.float64())])
+SESSION = ["nameless", "session"]
+
+
 class LegsInOrder(StatefulProcessor):
-    """Holds back the fixes of a session until the watermark has passed them, then pairs them in order.
+    """Holds back the fixes of a part of the sessions until the watermark has passed them, then pairs them in order.
 
-    The state is the fixes within the lateness and the last fix paired; a timer at the oldest fix
-    held wakes it, and one after ``idle_ms`` of silence clears it. A fix that comes later than
-    that after the one before starts a new track, whether or not the state was cleared.
+    The state is the fixes within the lateness, a chunk for each batch, and the last fix paired of each
+    session; one timer wakes it at the oldest fix held or when a session has been silent for ``idle_ms``, which
+    is then forgotten. A fix that comes later than that after the one before starts a new track,
+    whether or not the state was cleared.
     """
 
     def __init__(self, idle_ms: int):
@@ -77,64 +83,82 @@ class LegsInOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "micros long, event_id long, lat double, lng double")
-        self.last = handle.getValueState("last", "micros long, lat double, lng double")
+        self.held = handle.getListState("held", "chunk binary")
+        self.last = handle.getValueState("last", "chunk binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         oldest = None
         for part in rows:
-            self.held.appendList([(int(r.micros), int(r.event_id), float(r.lat), float(r.lng)) for r in part.itertuples()])
+            self.held.appendValue((packed(part),))
             first = int(part["micros"].min())
             oldest = first if oldest is None else min(first, oldest)
         if oldest is not None:
-            self.handle.registerTimer(self.wake(oldest, timerValues))
+            self.wake(oldest, timerValues)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(tuple(r) for r in self.held.get())
-        due, wait = [r for r in held if r[0] <= passed], [r for r in held if r[0] > passed]
-        last = tuple(self.last.get()) if self.last.exists() else None
-        out = []
-        for micros, _, lat, lng in due:
-            near = last is not None and micros - last[0] <= self.idle_ms * 1000
-            out.append((key[0], micros, lat, lng, last[1] if near else None, last[2] if near else None))
-            last = (micros, lat, lng)
-        if due:
-            self.last.update(last)
-            self.held.put(wait) if wait else self.held.clear()
-        if wait:
-            self.handle.registerTimer(self.wake(wait[0][0], timerValues))
-        elif last is not None:
-            end = last[0] + self.idle_ms * 1000
-            if end <= passed:
-                self.last.clear()
-            else:
-                self.handle.registerTimer(self.wake(end, timerValues))
-        if out:
-            frame = pd.DataFrame(out, columns=["session", "micros", "lat", "lng", "prev_lat", "prev_lng"])
-            yield frame.astype({"prev_lat": "float64", "prev_lng": "float64"})
-
-    def wake(self, micros: int, timer_values) -> int:
-        return max(-(-micros // 1000), timer_values.getCurrentWatermarkInMs() + 1)
+        passed, idle = timerValues.getCurrentWatermarkInMs() * 1000, self.idle_ms * 1000
+        held = pd.concat([unpacked(b) for (b,) in self.held.get()] or [HELD.empty_table().to_pandas()], ignore_index=True)
+        due, wait = held[held["micros"] <= passed], held[held["micros"] > passed]
+        last = unpacked(self.last.get()[0]) if self.last.exists() else held[:0]
+        fixes = pd.concat([last.assign(new=False), due.assign(new=True)], ignore_index=True).sort_values([*SESSION, "new", "micros", "event_id", "lat", "lng"], kind="stable")
+        before = fixes.groupby(SESSION, sort=False)[["micros", "lat", "lng"]].shift(1)
+        near = fixes["micros"] - before["micros"].fillna(0).astype("int64") <= idle
+        fixes["prev_lat"], fixes["prev_lng"] = before["lat"].where(near & before["micros"].notna()), before["lng"].where(near & before["micros"].notna())
+        newest = fixes.drop_duplicates(SESSION, keep="last")
+        newest = newest[newest["micros"] + idle >= passed]
+        if len(due):
+            self.held.put([(packed(wait),)]) if len(wait) else self.held.clear()
+        if len(newest):
+            self.last.update((packed(newest),))
+        elif len(last):
+            self.last.clear()
+        if len(wait) or len(newest):
+            self.wake(int(pd.concat([wait["micros"], newest["micros"] + idle]).min()), timerValues)
+        out = fixes[fixes["new"]]
+        if len(out):
+            yield out[["session", "nameless", "micros", "lat", "lng", "prev_lat", "prev_lng"]]
+
+    def wake(self, micros: int, timer_values) -> None:
+        """Keep one timer, the earliest, beside any that is due now (and still listed while it is handled)."""
+        now = timer_values.getCurrentWatermarkInMs()
+        at, known = max(-(-micros // 1000), now + 1), [t for t in self.handle.listTimers() if t > now]
+        if all(at < t for t in known):
+            for t in known:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at)
 
     def close(self) -> None:
         pass
 
 
-def stream_legs_in_order(fixes: DataFrame, lateness: str = "10 minutes", idle_ms: int = 30 * 24 * 3600 * 1000, axis: float = WGS84_AXIS) -> DataFrame:
+def packed(fixes: pd.DataFrame) -> bytes:
+    return pa.RecordBatch.from_pandas(fixes[HELD.names], HELD, preserve_index=False).serialize().to_pybytes()
+
+
+def unpacked(chunk: bytes) -> pd.DataFrame:
+    return pa.ipc.read_record_batch(pa.py_buffer(bytes(chunk)), HELD).to_pandas()
+
+
+def stream_legs_in_order(
+    fixes: DataFrame, lateness: str = "10 minutes", idle_ms: int = 30 * 24 * 3600 * 1000, axis: float = WGS84_AXIS, parts: int = 512
+) -> DataFrame:
     """Legs of GPS fixes (session, event_id, ts, lat, lng) in the order of their times.
 
     However fixes are dealt over batches, and in whatever order they arrive within the
     lateness, the legs are the same; each is given once, when the watermark has passed its fix. Fixes later than that
-    are dropped. Needs the RocksDB state store (:func:`rocksdb_state`).
+    are dropped. Needs the RocksDB state store (:func:`rocksdb_state`). Sessions are held in ``parts``, as each access to
+    the state of a key costs a call; a running stream keeps the number it began with.
     """
-    src = fixes.select("session", "event_id", F.col("ts").cast("timestamp").alias("ts"), "lat", "lng").withColumn("micros", F.unix_micros("ts"))
-    paired = src.withWatermark("ts", lateness).groupBy("session").transformWithStateInPandas(
-        LegsInOrder(idle_ms), "session bigint, micros bigint, lat double, lng double, prev_lat double, prev_lng double", "append", "EventTime"
+    src = fixes.select(
+        F.coalesce("session", F.lit(0)).cast("bigint").alias("session"), F.col("session").isNull().alias("nameless"),
+        F.col("event_id").cast("bigint").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"),
+    ).withColumns({"micros": F.unix_micros("ts"), "part": F.pmod(F.xxhash64("session", "nameless"), F.lit(parts))})
+    paired = src.withWatermark("ts", lateness).groupBy("part").transformWithStateInPandas(
+        LegsInOrder(idle_ms), "session bigint, nameless boolean, micros bigint, lat double, lng double, prev_lat double, prev_lng double", "append", "EventTime"
     )
     return paired.select(
-        "session", F.timestamp_micros("micros").alias("ts"), "lat", "lng",
+        F.when(~F.col("nameless"), F.col("session")).alias("session"), F.timestamp_micros("micros").alias("ts"), "lat", "lng",
         distance_km("prev_lat", "prev_lng", "lat", "lng", axis).alias("leg_km"),
         bearing("prev_lat", "prev_lng", "lat", "lng").alias("leg_bearing"),
     )

@@ -70,6 +70,27 @@ def test_legs_come_in_order_however_fixes_arrive(spark):
     assert sorted(x.rsplit(", leg_bearing", 1)[0] for x in got[0]) == sorted(f"Row(session={s}, ts={t!r}, lat={a}, lng={b}, leg_km={k}" for s, t, a, b, k in want)
 
 
+def test_sessions_in_order_share_their_state(spark):
+    day = dt.datetime(2024, 5, 1)
+    fixes = [(s or None, 10 * s + i, day + dt.timedelta(minutes=90 * i + s % 7), 50.0 + i / 100, 30.0 + s / 100) for s in range(200) for i in range(6)]
+    rows = spark.createDataFrame(fixes, "session bigint, event_id bigint, ts timestamp, lat double, lng double")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    jobs.rocksdb_state(spark)
+    try:
+        legs = jobs.stream_legs_in_order(feed(spark, rows.withColumn("__part", F.pmod(F.xxhash64("event_id"), F.lit(3)))), "10 hours", 100 * 60_000, parts=3)
+        out = work_folder(spark, "stream")
+        q = legs.writeStream.format("parquet").option("checkpointLocation", out + "/state").trigger(availableNow=True).start(out + "/rows")
+        q.awaitTermination()
+        held = [o.numRowsTotal for p in q.recentProgress for o in p.stateOperators]
+        assert 0 < max(held) < 50  # chunks of fixes by part, not fixes or sessions
+    finally:
+        spark.conf.set(key, before)
+    end = max(f[2] for f in fixes) - dt.timedelta(hours=10)
+    got = sorted((-1 if r.session is None else r.session, r.ts, r.leg_km is None) for r in spark.read.parquet(out + "/rows").collect())
+    assert got == sorted((-1 if s is None else s, t, t == day + dt.timedelta(minutes=(s or 0) % 7)) for s, _, t, _, _ in fixes if t <= end)
+
+
 def test_hit_counts(spark, small):
     ev = P.event_points(spark, small).select("ts", F.col("event_type").alias("source"))
     lo, hi = ev.agg(F.min("ts"), F.max("ts")).first()
