@@ -146,15 +146,15 @@ def stream_legs_in_order(
     """Legs of GPS fixes (session, event_id, ts, lat, lng) in the order of their times.
 
     However fixes are dealt over batches, and in whatever order they arrive within the
-    lateness, the legs are the same; each is given once, when the watermark has passed its fix. Fixes later than that
-    are dropped. Needs the RocksDB state store (:func:`rocksdb_state`). Sessions are held in ``parts``, as each access to
+    lateness, the legs are the same; each is given once, when the watermark has passed its fix. Fixes later than that, or
+    without time, are dropped. Needs the RocksDB state store (:func:`rocksdb_state`). Sessions are held in ``parts``, as each access to
     the state of a key costs a call; a running stream keeps the number it began with.
     """
     src = fixes.select(
         F.coalesce("session", F.lit(0)).cast("bigint").alias("session"), F.col("session").isNull().alias("nameless"),
         F.col("event_id").cast("bigint").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"),
     ).withColumns({"micros": F.unix_micros("ts"), "part": F.pmod(F.xxhash64("session", "nameless"), F.lit(parts))})
-    paired = src.withWatermark("ts", lateness).groupBy("part").transformWithStateInPandas(
+    paired = src.filter(F.col("ts").isNotNull()).withWatermark("ts", lateness).groupBy("part").transformWithStateInPandas(
         LegsInOrder(idle_ms), "session bigint, nameless boolean, micros bigint, lat double, lng double, prev_lat double, prev_lng double", "append", "EventTime"
     )
     return paired.select(
