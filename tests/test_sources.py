@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoloom import points as P
+from geoloom.catalog import QUERIES
 from geoloom.functions import rings as G
 from geoloom.operators import tile_store as T
 from geoloom.operators.tiling import plan_tiles
 from geoloom.session import work_folder
-from geoloom.sources import geojson, gpx, osm, snapshot
+from geoloom.sources import geojson, gpx, osm, responses, snapshot
 from geoloom.sources.json_members import read_members
 
 
@@ -260,3 +261,28 @@ def test_geojson_files(spark, tmp_path):
     assert sorted((r.id or "", round(r.outer[0].x, 3)) for r in rows) == sorted(
         [(str(i), round(30 + i / 10, 3)) for i in range(9)] + [("", 36.0), ("", 37.0), ("", 38.0), ("77", 39.0)]
     )
+
+
+def test_directions_are_whole(spark, small):
+    """Totals, the line of the route, and every step with its line, of both formats."""
+    amount, at = {"text": "5 u", "value": 5}, {"lat": 38.5, "lng": -120.2}
+    step = {"travel_mode": "DRIVING", "html_instructions": "turn", "duration": amount, "distance": amount, "start_location": at, "end_location": at}
+    leg = {"duration": amount, "distance": amount, "start_location": at, "end_location": at, "start_address": "a", "end_address": "b"}
+    line = {"points": "_p~iF~ps|U_ulLnnqC_mqNvxq`@"}
+    route = {"summary": "s", "copyrights": "c", "overview_polyline": line, "legs": [leg | {"steps": [step | {"polyline": line}, step]}]}
+    gpx_body = (
+        '<gpx xmlns="http://www.topografix.com/GPX/1/1"><wpt lat="1.5" lon="2.5"/><wpt lat="3.5" lon="4.5"/>'
+        '<rte><rtept lat="1.5" lon="2.5"><desc>go</desc></rtept></rte></gpx>'
+    )
+    rows = [(1, "google", json.dumps({"status": "OK", "routes": [route]})), (2, "gpx", gpx_body), (3, "google", json.dumps({"status": "NOT_FOUND", "routes": [route]}))]
+    h, s = responses.parse_directions(spark.createDataFrame(rows, "id int, format string, body string"), "id")
+    spots = lambda ps: ps and [(round(p.lat, 5), round(p.lng, 5)) for p in ps]
+    want = [(38.5, -120.2), (40.7, -120.95), (43.252, -126.453)]
+    assert {r.id: spots(r.route) for r in h.collect()} == {1: want, 2: [(1.5, 2.5), (3.5, 4.5)], 3: None}
+    assert sorted((r.id, r.step, spots(r.points)) for r in s.collect()) == [(1, 0, want), (1, 1, None), (2, 0, None)]
+    # the query gives all of it: a row for each answer and one for each step
+    got = QUERIES["parse_directions"](spark, small)
+    assert {"distance", "distance_value", "start_lng", "end_lat", "copyrights", "line", "instructions"} <= set(got.columns)
+    lines = spark.read.parquet(f"{small}/lineitem.parquet")
+    assert got.filter("step IS NULL").count() == lines.select("l_orderkey").distinct().count()
+    assert got.filter("step IS NOT NULL").count() == 2 * lines.count()
