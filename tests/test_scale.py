@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoloom import points as P
+from geoloom.functions import rings as G
 from geoloom.operators import proximity as X
+from geoloom.operators import quality as Q
 from geoloom.operators import routes as R
 from geoloom.operators import spatial as S
 from geoloom.operators.ordered import with_last_known, with_previous
@@ -180,3 +182,39 @@ def test_eviction_in_one_moment(spark):
         for finer in ([], [F.date_trunc("day", "cached_at"), F.floor(F.col("id") / 64), F.col("id")]):
             got = evict_oldest(df, cap, bucket=F.date_trunc("month", "cached_at"), finer=finer)
             assert got.columns == df.columns and sorted(r.id for r in got.collect()) == sorted(want)
+
+
+def wheel(rnd, n, cx, cy, r):
+    """A ring of n corners around a point, in turn at most half as far, so that it never meets itself."""
+    return [(cx + math.cos(2 * math.pi * i / n) * r * rnd.uniform(0.5, 1), cy + math.sin(2 * math.pi * i / n) * r * rnd.uniform(0.5, 1)) for i in range(n)]
+
+
+def in_ring(x, y, ring, slack=1e-6):
+    odd = False
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+        if (by > y) != (ay > y) and x < (ax - bx) * (y - by) / (ay - by + slack) + bx:
+            odd = not odd
+    return odd
+
+
+def as_ring(ring):
+    return [{"x": float(x), "y": float(y)} for x, y in ring]
+
+
+def test_small_rings_need_no_grid(spark, monkeypatch):
+    """Their edges are compared in place, with what the grid gives; several rings of a polygon meet on the grid."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(60):
+        ring = [(rnd.uniform(0, 90), rnd.uniform(0, 90)) for _ in range(rnd.randint(3, 8))] if i % 2 else wheel(rnd, 12, 50, 50, 40)
+        rows.append((i if i else None, 0, as_ring(ring)))
+    one = spark.createDataFrame(rows, "poly_id int, ring_no int, ring array<struct<x:double,y:double>>")
+    several = one.unionByName(one.selectExpr("(poly_id + 1) % 60 AS poly_id", "1 AS ring_no", "ring"))
+    grid = Q._crossings_on_grid
+    want = [sorted(map(tuple, grid(df.filter("size(ring) >= 3")).distinct().collect())) for df in (one, several)]
+    assert sorted(map(tuple, Q.edge_crossings(several).collect())) == want[1] and len(want[1]) > len(want[0]) > 0
+    monkeypatch.setattr(Q, "SMALL_RING", 4)
+    assert sorted(map(tuple, Q.edge_crossings(one).collect())) == want[0]
+    monkeypatch.setattr(Q, "SMALL_RING", 64)
+    monkeypatch.setattr(Q, "_crossings_on_grid", None)
+    assert sorted(map(tuple, Q.edge_crossings(one).collect())) == want[0]
