@@ -11,9 +11,11 @@ from geoloom.functions import rings as G
 from geoloom.operators import proximity as X
 from geoloom.operators import quality as Q
 from geoloom.operators import routes as R
+from geoloom.operators import shape_tiles as T
 from geoloom.operators import spatial as S
 from geoloom.operators.ordered import with_last_known, with_previous
 from geoloom.operators.skew import hot_keys, skew_join
+from geoloom.operators.utm import with_utm
 
 
 def same(a, b):
@@ -218,3 +220,61 @@ def test_small_rings_need_no_grid(spark, monkeypatch):
     monkeypatch.setattr(Q, "SMALL_RING", 64)
     monkeypatch.setattr(Q, "_crossings_on_grid", None)
     assert sorted(map(tuple, Q.edge_crossings(one).collect())) == want[0]
+
+
+def shapes_and_spots(rnd):
+    """Polygons of many sizes with holes, level edges, crossings and corners on spots; spots crowd in places."""
+    shapes = []
+    for i in range(70):
+        x, y, r = rnd.uniform(-9000, 9000), rnd.uniform(-9000, 9000), 10 ** rnd.uniform(1, 4)
+        outer = wheel(rnd, rnd.randint(3, 9), x, y, r) if i % 3 else [(x - r, y - r), (x + r, y - r), (x + r, y + r), (x - r, y + r)]
+        holes = [wheel(rnd, 5, x, y, r / 2)] if i % 4 == 0 else []
+        shapes.append((i, [outer, *holes]))
+    shapes.append((70, [[(0, 0), (4000, 4000), (4000, 0), (0, 4000)]]))
+    spots = [(rnd.gauss(0, 3000), rnd.gauss(0, 3000)) if i % 2 else (rnd.uniform(-20000, 20000), rnd.uniform(-20000, 20000)) for i in range(3000)]
+    spots += [v for _, rings in shapes for v in rings[0]] + [(4000.0, 2000.0), (8000.0, 8000.0), (-2000.0, 0.0)]
+    return shapes, spots
+
+
+def test_counts_in_tiles_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(T, "POINTS_AT_ONCE", 200)
+    monkeypatch.setattr(T, "SHAPES_AT_ONCE", 5)
+    monkeypatch.setattr(T, "ROWS_IN_GROUP", 2000)
+    shapes, spots = shapes_and_spots(random.Random(8))
+    p = spark.createDataFrame([(31, i, float(x), float(y)) for i, (x, y) in enumerate(spots)], "utm_zone int, point_ref bigint, x double, y double")
+    # the last shape is two polygons
+    nested = [(31, i, [[as_ring(r) for r in rings]]) for i, rings in shapes] + [(31, 99, [[as_ring(r) for r in rings] for _, rings in shapes[:2]]), (32, 98, [[as_ring(shapes[0][1][0])]])]
+    s = T.with_box(spark.createDataFrame(nested, "utm_zone int, shape_ref bigint, polygons array<array<array<struct<x:double,y:double>>>>"))
+    inside = {i: {k for k, (x, y) in enumerate(spots) if in_ring(x, y, rings[0]) and not any(in_ring(x, y, h) for h in rings[1:])} for i, rings in shapes}
+    inside[99] = inside[0] | inside[1]
+    got = T.in_tiles(p, s, T.counted, "shape_ref bigint, n bigint").groupBy("shape_ref").agg(F.sum("n").alias("n")).filter("n > 0")
+    assert {r.shape_ref: r.n for r in got.collect()} == {i: len(k) for i, k in inside.items() if k}
+    least = T.in_tiles(p, s, T.least_shape, "point_ref bigint, shape_ref bigint").groupBy("point_ref").agg(F.min("shape_ref").alias("s"))
+    want = {k: min(i for i, held in inside.items() if k in held) for k in set().union(*inside.values())}
+    assert {r.point_ref: r.s for r in least.collect()} == want
+
+
+def test_other_places_are_counted_without_pairs(spark, monkeypatch):
+    """No row for each center within a polygon, unless its instance has several centers or the group lies in two zones."""
+    centers = [(i, 49.0 + i % 40 / 200, 5.5 + i // 40 / 200) for i in range(1600)]
+    c = spark.createDataFrame(centers, "place_id int, lat double, lng double")
+    inst = c.selectExpr("place_id", "CASE WHEN place_id % 100 = 7 THEN 7 ELSE place_id END AS group_id")
+    at = with_utm(c, 31)
+    h = 3000.0
+    polys = at.filter("place_id % 9 = 0").select(
+        "place_id", F.lit("p").alias("provider_key"), F.col("place_id").cast("string").alias("external_key"), F.lit(31).alias("utm_zone"),
+        G.square_ring(F.col("x"), F.col("y"), F.lit(h)).alias("outer"), F.array().cast(f"array<{G.RING}>").alias("holes"),
+    )
+    spots = {r.place_id: (r.x, r.y) for r in at.collect()}
+    group = {i: 7 if i % 100 == 7 else i for i in spots}
+    want = {}
+    for i in range(0, 1600, 9):
+        x, y = spots[i]
+        ring = [(x - h, y - h), (x + h, y - h), (x + h, y + h), (x - h, y + h)]
+        want[i] = len({group[k] for k, (a, b) in spots.items() if k != i and in_ring(a, b, ring)})
+    asked = []
+    pairs = Q.pairs_in_polygons
+    monkeypatch.setattr(Q, "pairs_in_polygons", lambda pts, *rest: asked.append(pts) or pairs(pts, *rest))
+    got = {r.place_id: r.others for r in Q.contained_other_places(polys, c, inst).collect()}
+    assert got == {i: n for i, n in want.items() if n}
+    assert [p.select("other_group").distinct().count() for p in asked] == [1]
