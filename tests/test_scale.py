@@ -278,3 +278,25 @@ def test_other_places_are_counted_without_pairs(spark, monkeypatch):
     got = {r.place_id: r.others for r in Q.contained_other_places(polys, c, inst).collect()}
     assert got == {i: n for i, n in want.items() if n}
     assert [p.select("other_group").distinct().count() for p in asked] == [1]
+
+
+def test_located_points_are_not_paired(spark, monkeypatch):
+    """A point goes through the polygons from the least one on; only broken polygons and points without a name are paired."""
+    rnd = random.Random(4)
+    centers = [(i, 31, rnd.uniform(4.4e5, 4.8e5), rnd.uniform(5.43e6, 5.47e6), 10 ** rnd.uniform(2.5, 4)) for i in range(200)]
+    polys = [(i, z, as_ring(wheel(rnd, 5, x, y, r)), [as_ring(wheel(rnd, 4, x, y, r / 3))] if i % 5 == 0 else []) for i, z, x, y, r in centers]
+    polys.append((500, 31, [*as_ring([(4.5e5, 5.44e6), (4.6e5, 5.44e6)]), {"x": 4.6e5, "y": None}, {"x": 4.5e5, "y": 5.46e6}], []))
+    s = spark.createDataFrame(polys, "place_id int, utm_zone int, outer array<struct<x:double,y:double>>, holes array<array<struct<x:double,y:double>>>")
+    spots = spark.createDataFrame([(i, rnd.uniform(49.05, 49.35), rnd.uniform(2.2, 2.7)) for i in range(400)], "point_id int, lat double, lng double")
+    none = s.filter("place_id < 0").selectExpr("place_id", "utm_zone", "0D AS x", "0D AS y")
+    at = S.with_zones_in_use(spots, spark.createDataFrame([(31, 0.0, 0.0, 0.0, 0.0)], "__try_zone int, __zx0 double, __zy0 double, __zx1 double, __zy1 double"))
+    pairs = S.pairs_in_polygons(at.select("point_id", "utm_zone", "x", "y"), s.withColumn("area", G.net_area("outer", "holes")), ["utm_zone"])
+    want = {r.point_id: r.b.place_id for r in pairs.groupBy("point_id").agg(F.min(F.struct("area", "place_id")).alias("b")).collect()}
+    asked = []
+    plain = S.pairs_in_polygons
+    monkeypatch.setattr(S, "pairs_in_polygons", lambda pts, shapes, *rest: asked.append((pts, shapes)) or plain(pts, shapes, *rest))
+    found = S.locate_points(spots, s, none).collect()
+    assert {r.point_id: r.place_id for r in found if r.inside} == want and len(found) == 400 and len(want) > 100
+    assert [{r[0] for r in shapes.select("__place").collect()} for _, shapes in asked] == [{500}]
+    texts = spots.withColumn("point_id", F.when(F.col("point_id") > 0, F.concat(F.lit("p"), "point_id")))
+    assert {r.point_id: r.place_id for r in S.locate_points(texts, s, none).collect() if r.inside and r.point_id} == {f"p{i}": k for i, k in want.items() if i}
