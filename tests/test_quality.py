@@ -174,3 +174,22 @@ def test_crossings_match_brute_force(spark):
     df = spark.createDataFrame([(i, 0, ring(p)) for i, p in shapes], f"poly_id bigint, ring_no int, ring {G.RING}")
     got = {r.poly_id for r in Q.edge_crossings(df).filter(F.col("r1") == F.col("r2")).collect()}
     assert got == {i for i, p in shapes if meets(p)}
+
+
+def test_scores_and_rejections_make_no_pairs(spark, monkeypatch):
+    """Others in a polygon are counted and small rings compared without rows for pairs; the rejections stay."""
+    polys = [(i, i, "OSM", str(i), 115, 37, ring(square(400000.0 + 300 * i, 5500000.0, 3000.0)), [], False, NOW) for i in range(30)]
+    places = [(i, f"N{i}", "town", "node", i + 1, 401000.0 + 300 * i, 5501000.0, 37, "U") for i in range(30)]
+    p = from_utm(spark.createDataFrame(places, PLACE))
+    no = p.filter("place_id < 0")
+    none = no.selectExpr("place_id", "0L AS seq", "x", "y", "utm_zone", "lat", "lng")
+    inst = p.selectExpr("place_id", "place_id AS group_id")
+    paired = []
+    pairs = Q.pairs_in_polygons
+    monkeypatch.setattr(Q, "pairs_in_polygons", lambda a, b, *rest: paired.append(a.count()) or pairs(a, b, *rest))
+    monkeypatch.setattr(Q, "_crossings_on_grid", None)
+    got = {r.place_id: (r.others, r.rejected_by_containment) for r in Q.reject_polygons(Q.score_polygons(spark.createDataFrame(polys, POLY), p, none, no, inst)).collect()}
+    # centers stand 1000 m in, 300 m apart, in squares of 3000 m
+    want = {i: sum(1 for k in range(30) if k != i and 0 <= 1000 + 300 * (k - i) < 3000) for i in range(30)}
+    assert {i: n for i, (n, _) in got.items()} == {i: n for i, n in want.items() if n >= rules.OTHERS_TO_REJECT}
+    assert all(gone for _, gone in got.values()) and not any(paired)
